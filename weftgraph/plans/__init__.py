@@ -1 +1,4 @@
+"""Registered queries over the test tables and the SQL that checks them."""
 
+QUERIES: dict = {}
+ORACLES: dict = {}
