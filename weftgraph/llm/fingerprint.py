@@ -23,14 +23,14 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K_WORDS, bu
     """
     if buckets & (buckets - 1):
         raise ValueError("the number of buckets is a power of two")
-    t = [f"__{name}_{i}" for i in range(6)]
+    t = [f"__{name}_{i}" for i in range(5)]
     keep = df.columns
-    shift = 64 - (buckets - 1).bit_length()
-    w, h, runs, g, cut = t[:5]
+    shift = 63 - (buckets - 1).bit_length()
+    w, h, runs, g, cut = t
     word = lambda i, j: F.get(F.col(w), i + F.lit(j))
     df = df.withColumn(w, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SYMBOL), F.lit(0)))
-    # hash in the high 40 bits, position in the low 24: one sort of plain longs groups equal k-mers in text order
-    mers = F.transform(F.col(w), lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(word(i, j) for j in range(1, k))), 24), 24).bitwiseOR(i.cast("long")))
+    # a 39-bit hash above a 24-bit position, never negative: one sort of plain longs groups equal k-mers in text order
+    mers = F.transform(F.col(w), lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(word(i, j) for j in range(1, k))), 25), 24).bitwiseOR(i.cast("long")))
     df = df.withColumn(h, F.sort_array(F.slice(mers, F.lit(1), F.greatest(F.size(w) - F.lit(k - 1), F.lit(1)))))
     same = lambda a, b: F.shiftrightunsigned(a, 24) == F.shiftrightunsigned(b, 24)
     idx = F.sequence(F.lit(0), F.size(h) - 1)
@@ -40,7 +40,7 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K_WORDS, bu
     def numbered(start: Column, j: Column) -> Column:
         end = F.coalesce(F.get(F.col(runs), j + 1), F.size(h))
         def one(x: Column, o: Column) -> Column:
-            mixed = F.when(o == 0, F.shiftrightunsigned(x, 24)).otherwise(F.shiftrightunsigned(F.xxhash64(F.shiftrightunsigned(x, 24), o), 24))
+            mixed = F.when(o == 0, F.shiftrightunsigned(x, 24)).otherwise(F.shiftrightunsigned(F.xxhash64(F.shiftrightunsigned(x, 24), o), 25))
             return F.shiftleft(mixed, 24).bitwiseOR(x.bitwiseAND(F.lit(_POS - 1)))
         return F.transform(F.slice(F.col(h), start + 1, end - start), one)
 
@@ -56,9 +56,12 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K_WORDS, bu
         ordered = F.transform(F.array_sort(F.transform(sel, lambda x: F.struct(x.bitwiseAND(F.lit(_POS - 1)).alias("p"), F.shiftrightunsigned(x, 24).alias("v")))), lambda s: s["v"])
         return F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(ordered), 48)), 4, "0"))
 
-    entries = F.map_from_entries(F.transform(F.col(cut), lambda s: F.struct(bucket(s[0]).alias("k"), digits(s).alias("v"))))
-    df = df.withColumn(t[5], entries)
-    text_form = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.element_at(F.col(t[5]), b.cast("long")), F.lit("----"))), "")
+    # empty buckets between two filled ones are written as gaps, so each tuple is hashed once
+    before = lambda i: F.when(i > 0, bucket(F.get(F.get(F.col(cut), i - 1), F.lit(0)))).otherwise(F.lit(-1).cast("long"))
+    gap = lambda n: F.repeat(F.lit("----"), n.cast("int"))
+    filled = F.transform(F.col(cut), lambda sel, i: F.concat(gap(bucket(sel[0]) - before(i) - 1), digits(sel)))
+    tail = gap(F.lit(buckets - 1) - before(F.size(cut)))
+    text_form = F.concat(F.array_join(filled, ""), tail)
     return df.withColumn(name, text_form).select(*keep, name)
 
 
