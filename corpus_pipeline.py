@@ -1,8 +1,58 @@
-"""Corpus preparation as a chain of stages, each written and read again before the next."""
+"""Corpus preparation as a chain of stages, each written to Parquet and read again before the next.
 
-STAGES: list = []
+Stages, in order: documents that the quality classifier rejects go; one document of each group of
+near duplicates stays; documents that hold a benchmark passage go; secrets are masked in the text;
+what is left is packed into sequences (the last stage returns pieces, not documents).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftgraph.llm import decontam, near_dedup, packing, quality, secrets
+from weftgraph.llm.queries import tokenizer_path
+from weftgraph.runtime import materialize
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of quality score 0.3 or more. The model learns from the labels of the documents at hand."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group; documents share 80 % of their five-word shingles, directly or through others."""
+    return near_dedup.keep_one(docs, k=5, percent=80)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item in their text."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence and offset."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontaminate_stage),
+    ("secret_scans", secrets_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: A trained model and a tokenizer are not SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
