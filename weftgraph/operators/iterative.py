@@ -201,7 +201,7 @@ def pagerank(g: Graph, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
     cur = materialize(d.select("id", "degree", F.lit(1.0 / max(n, 1)).alias("score")), "pr")
     for _ in range(rounds):
         dangling = cur.where("degree = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        got = g.edges.join(cur.select(F.col("id").alias("src"), (F.col("score") / F.col("degree")).alias("s")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("s").alias("got"))
+        got = g.edges.join(cur.where("degree > 0").select(F.col("id").alias("src"), F.try_divide("score", "degree").alias("s")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("s").alias("got"))
         cur = materialize(d.join(got, "id", "left").select("id", "degree", (F.lit((1 - alpha) / max(n, 1) + alpha * dangling / max(n, 1)) + alpha * F.coalesce("got", F.lit(0.0))).alias("score")), "pr")
     return cur.select("id", F.round("score", 9).alias("score"))
 

@@ -1,4 +1,5 @@
 """Registered queries over the test tables and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weftgraph.plans.graph_queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
