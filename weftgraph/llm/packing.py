@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,44 +21,127 @@ from weftgraph.runtime import materialize
 GROUP = 4096
 
 
+_KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 beyond ASCII
+_KIND[K._SPACE] = 0
+_KIND[97:123] = _KIND[65:91] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 4
+
+
+_LATIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for each Python worker, so that its cache outlives a task."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
+
+
 class WordTokenizer:
-    """Ids of texts, through the ids of their distinct words between ASCII white space.
+    """Ids of texts, through the ids of their distinct units.
 
-    Valid for tokenizers that drop white space and never look across it, as word-based BPE does.
-    Words seen again come from a cache of bounded size.
+    Valid for tokenizers that lower case, drop white space, and never join a letter run with ASCII
+    marks or digits (an apostrophe keeps its neighbours). Texts that spell out a special token are
+    encoded whole. Units seen again come from a cache of bounded size, held flat.
     """
 
-    CACHE = 200_000
+    CACHE = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.ids: dict[str, np.ndarray] = {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.first, self.size = np.zeros(self.CACHE, np.int64), np.zeros(self.CACHE, np.int64)
+
+    def _ids(self, units: list[str]) -> Iterator[list[int]]:
+        """Ids of each unit. A unit of Latin-1 letters is one piece for the model itself, once its bytes are mapped."""
+        plain = [_LATIN.fullmatch(w) is not None for w in units]
+        rest = iter(self.tok.encode_batch_fast([w for w, p in zip(units, plain) if not p], add_special_tokens=False))
+        model = self.tok.model
+        for w, p in zip(units, plain):
+            if p:
+                yield [t.id for t in model.tokenize(w if w.isascii() else w.lower().encode().decode("latin1").translate(_BYTE_LETTERS))]
+            else:
+                yield next(rest).ids
+
+    def _learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            for w, ids in zip(part, self._ids(part)):
+                if self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
+                k = self.known[w] = len(self.known)
+                if k == len(self.first):
+                    self.first, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.first, self.size))
+                self.first[k], self.size[k] = self.used, len(ids)
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+
+    def units(self, data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """(units of all texts, number of the first unit of each text + total)."""
+        d = K._LOWER[data]
+        kind = _KIND[d]
+        live = kind > 0
+        cut = np.zeros(len(d), bool)
+        if len(d):
+            a, b = kind[:-1], kind[1:]
+            cut[1:] = ((a == 1) & (b == 3) & (d[1:] != 39)) | ((a == 3) & (b == 1) & (d[:-1] != 39))
+            cut[1:] |= ((a == 2) & (b < 4)) | ((b == 2) & ((a == 1) | (a == 3)))
+            cut[1:] |= ~live[:-1]
+            heads = off[:-1][off[:-1] < len(d)]
+            cut[heads] = True
+            cut &= live
+        start = np.flatnonzero(cut)
+        kept = np.cumsum(live) - live
+        ends = np.append(kept[start], live.sum()).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(d[live]))])
+        return words, np.searchsorted(start, off)
 
     def encode(self, col: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: none), as unsigned 32-bit integers."""
-        parts = pc.split_pattern_regex(pc.fill_null(col.cast(pa.large_string()), ""), pattern=r"[\t-\r ]+")
-        words = parts.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        new = [w for w in names if w not in self.ids]
-        if len(self.ids) + len(new) > self.CACHE:
-            self.ids = {w: self.ids[w] for w in names if w in self.ids}
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, np.uint32)
-        known = [self.ids[w] for w in names]
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        idx = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = size[idx]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(first[idx] - ends[:-1], n) + np.arange(ends[-1])
-        ids = flat[take] if len(take) else flat[:0]
-        cut = ends[np.asarray(parts.offsets.to_numpy()) - parts.offsets[0].as_py()]
-        return [ids[cut[i] : cut[i + 1]] for i in range(len(parts))]
+        out: list[np.ndarray] = []
+        data, off = K.text_bytes(col)
+        for i, j in K.blocks(off, 2 << 20):
+            lo = int(off[i])
+            words, first = self.units(data[lo : int(off[j])], off[i : j + 1] - lo)
+            coded = words.dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            new = [w for w in names if w not in self.known]
+            if self.known and len(self.known) + len(new) > self.CACHE:
+                self._clear()
+                new = names
+            self._learn(new)
+            at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+            idx = at[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            n = self.size[idx]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = self.flat[np.repeat(self.first[idx] - ends[:-1], n) + np.arange(ends[-1])]
+            cut = ends[first]
+            out += [ids[cut[k] : cut[k + 1]] for k in range(j - i)]
+        odd = pc.match_substring(col, self.special[0]) if self.special else None
+        for s in self.special[1:]:
+            odd = pc.or_(odd, pc.match_substring(col, s))
+        for r in np.flatnonzero(odd.fill_null(False).to_numpy(zero_copy_only=False)) if odd is not None else ():
+            out[r] = np.array(self.tok.encode(col[int(r)].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 def best_two_fit(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,13 +208,10 @@ def best_two_fit(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndar
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end mark, cut only beyond ``capacity``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tok: list[WordTokenizer] = []
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not tok:
-            tok.append(WordTokenizer(tokenizer_path))
         out: list[tuple] = []
-        for d, ids in zip(b.column(0).to_pylist(), tok[0].encode(b.column(1))):
+        for d, ids in zip(b.column(0).to_pylist(), tokenizer(tokenizer_path).encode(b.column(1))):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             for k, s in enumerate(range(0, len(ids), capacity)):
                 part = ids[s : s + capacity]
