@@ -31,17 +31,18 @@ def family_of(lang: str, families: Mapping[str, tuple[str, ...]] = FAMILIES) ->
     return next((f for f, members in families.items() if lang in members), f"={lang}")
 
 
-def _codes(data: np.ndarray) -> np.ndarray:
-    """Hashed trigram at each byte; lower case in ASCII and Latin-1."""
+def _codes(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Hashed trigram at each byte; lower case in ASCII and Latin-1. Before each of ``heads`` stands white space."""
     d = K._LOWER[data]
     if len(d) > 1:
         up = (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] <= 0x9E)
         d[1:][up] += 0x20
     d[K._SPACE[d]] = 32
-    d = d.astype(np.uint32)
-    x = d * np.uint32(0x9E3779B1)
-    x[1:] += d[:-1] * np.uint32(0x85EBCA6B)
-    x[2:] += d[:-2] * np.uint32(0xC2B2AE35)
+    one, two = np.full(len(d), 32, np.uint32), np.full(len(d), 32, np.uint32)
+    one[1:], two[2:] = d[:-1], d[:-2]
+    one[heads] = two[heads] = 32
+    two[heads[heads + 1 < len(d)] + 1] = 32
+    x = d.astype(np.uint32) * np.uint32(0x9E3779B1) + one * np.uint32(0x85EBCA6B) + two * np.uint32(0xC2B2AE35)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x2C1B3C6D)
     return (x >> np.uint32(20)).astype(np.int64)
@@ -56,7 +57,7 @@ def profiles(col: pa.Array) -> np.ndarray:
             if off[r + 1] > off[r]:
                 n = np.zeros(DIM)
                 for p in range(int(off[r]), int(off[r + 1]), K.BLOCK):
-                    n += np.bincount(_codes(data[p : min(p + K.BLOCK, int(off[r + 1]))]), minlength=DIM)
+                    n += np.bincount(_codes(data[p : min(p + K.BLOCK, int(off[r + 1]))], np.zeros(1, int)), minlength=DIM)
                 out[r] = n / n.sum()
     return out
 
@@ -137,12 +138,12 @@ class LanguageModel:
             for p in range(int(off[i]), int(off[j]), K.BLOCK):
                 stop = min(p + K.BLOCK, int(off[j]))
                 d = data[p:stop]
-                c = _codes(d)
                 rows = np.arange(i, j)
                 lo, hi = np.clip(off[i:j], p, stop) - p, np.clip(off[i + 1 : j + 1], p, stop) - p
                 some = hi > lo
                 rows, lo = rows[some], lo[some]
                 if len(rows):
+                    c = _codes(d, lo)
                     letters[rows] |= np.logical_or.reduceat(is_letter[d], lo)
                     for k in range(len(self.planes)):
                         margin[rows, k] += np.add.reduceat(self.w[:, k].take(c), lo, dtype=np.float64)

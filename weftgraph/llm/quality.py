@@ -62,7 +62,9 @@ def line_shapes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
         # line feeds never count: each line's sums run from its start to the next line's start
         lo, s = starts[full], size[full]
         space = K._SPACE[data]
-        nw = np.add.reduceat((~space) & np.concatenate([[True], space[:-1]]), lo, dtype=np.float64)
+        after = np.concatenate([[True], space[:-1]])
+        after[lo] = True
+        nw = np.add.reduceat(~space & after, lo, dtype=np.float64)
         nw = np.maximum(nw, 1)
         upper, low = _UPPER[data], _LOW[data]
         up = _ratio(upper, lo, s)
@@ -77,6 +79,7 @@ def line_shapes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
         f[full, 10] = _ratio(data >= 128, lo, s)
         same = np.zeros(len(data), bool)
         same[1:] = data[1:] == data[:-1]
+        same[lo] = False
         f[full, 11] = _ratio(same & ~space, lo, s)
         f[full, 12] = _END[data[ends[full] - 1]]
         # repeated words inside the line, repeated lines inside the text
