@@ -246,15 +246,21 @@ def bipartite_coloring(spark, d):
     return I.bipartite_coloring(Graph.build(g.vertices, g.edges).kept())
 
 
-@query(TRADE + ", p(src, id, distance) AS (SELECT id, id, CAST(0 AS DOUBLE) FROM v UNION SELECT p.src, e.dst, min(p.distance + e.weight) FROM p JOIN e ON e.src = p.id WHERE p.distance + e.weight < 12000 GROUP BY 1, 2) SELECT src, id, round(min(distance), 6) AS distance FROM p GROUP BY 1, 2")
+def _rounds(start: str, step: str, n: int) -> str:
+    """SQL of n fixed rounds: one common table expression each."""
+    parts = [f", x0 AS ({start})"] + [f", x{i} AS ({step.format(p=f'x{i - 1}')})" for i in range(1, n + 1)]
+    return "".join(parts)
+
+
+@query(TRADE + _rounds("SELECT src, dst, min(w) w FROM (SELECT src, dst, weight w FROM e UNION ALL SELECT id, id, 0.0 FROM v) GROUP BY 1, 2", "SELECT a.src src, b.dst dst, min(a.w + b.w) w FROM {p} a JOIN {p} b ON a.dst = b.src GROUP BY 1, 2", 5) + " SELECT src, dst AS id, round(w, 6) AS distance FROM x5")
 def dijkstra(spark, d):
     g = G.trade(spark, d).kept()
-    return I.shortest_distances(g, g.vertices.select(F.col("id").alias("src"))).select("src", "id", F.round("distance", 6).alias("distance")).where("distance < 12000")
+    return I.shortest_distances(g, g.vertices.select(F.col("id").alias("src"))).select("src", "id", F.round("distance", 6).alias("distance"))
 
 
 @query(ORACLES["dijkstra"])
 def floyd_warshall(spark, d):
-    return I.all_pairs_shortest(G.trade(spark, d).kept()).select("src", "id", F.round("distance", 6).alias("distance")).where("distance < 12000")
+    return I.all_pairs_shortest(G.trade(spark, d).kept()).select("src", "id", F.round("distance", 6).alias("distance"))
 
 
 @query(GEO + ", t AS (SELECT src, dst FROM e WHERE dst < 1000), b AS (SELECT * FROM t UNION ALL SELECT dst, src FROM t), h(src, id, depth) AS (SELECT id, id, 0 FROM v WHERE id < 1000 UNION SELECT h.src, b.dst, depth + 1 FROM h JOIN b ON b.src = h.id WHERE depth < 6), m AS (SELECT src, id, min(depth) depth FROM h GROUP BY 1, 2) SELECT max(depth) AS diameter FROM m")
@@ -270,17 +276,11 @@ def closeness(spark, d):
     return I.closeness(Graph.build(g.vertices.where("id < 1000"), g.edges.where("dst < 1000")).kept())
 
 
-@query()
+@query(COPART + _rounds("SELECT id, CAST(degree AS BIGINT) c FROM d", "SELECT v.id id, coalesce(h, 0) c FROM v LEFT JOIN (SELECT id, max(least(rn, c)) h FROM (SELECT e.src id, {p}.c c, row_number() OVER (PARTITION BY e.src ORDER BY {p}.c DESC) rn FROM e JOIN {p} ON {p}.id = e.dst) GROUP BY id) ON id = v.id".replace("ON id = v.id", "y ON y.id = v.id"), 8) + " SELECT id, CAST(c AS BIGINT) AS core FROM x8")
 def core_number(spark, d):
     return I.core_numbers(G.copurchase(spark, d).kept())
 
 
-def _rounds(start: str, step: str, n: int) -> str:
-    """SQL of n fixed rounds: one common table expression each."""
-    parts = [f", x0 AS ({start})"] + [f", x{i} AS ({step.format(p=f'x{i - 1}')})" for i in range(1, n + 1)]
-    return "".join(parts)
-
-
 @query(COPART + ", n AS (SELECT count(*) n FROM v)" + _rounds("SELECT id, 1.0 / (SELECT n FROM n) AS s FROM v", "SELECT d.id AS id, 0.15 / (SELECT n FROM n) + 0.85 * (SELECT sum(s) FROM {p} JOIN d d0 ON {p}.id = d0.id WHERE d0.degree = 0) / (SELECT n FROM n) + 0.85 * coalesce(g.s, 0) AS s FROM d LEFT JOIN (SELECT e.dst id, sum({p}.s / d1.degree) s FROM e JOIN {p} ON {p}.id = e.src JOIN d d1 ON d1.id = e.src GROUP BY 1) g ON g.id = d.id", 8) + " SELECT id, round(s, 9) AS score FROM x8")
 def pagerank(spark, d):
     return I.pagerank(G.copurchase(spark, d).kept(), rounds=8)
