@@ -226,3 +226,55 @@ def eigenvector_centrality(g: Graph, rounds: int = 20) -> DataFrame:
         norm = raw.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
         cur = raw.select("id", (F.col("score") / norm).alias("score"))
     return cur.select("id", F.round("score", 9).alias("score"))
+
+
+def wl_coloring(g: Graph, most: int | None = None) -> DataFrame:
+    """(id, class): colour refinement over successors to its fix-point; a class is named by its smallest id.
+
+    A vertex's next colour is a hash of its own and of the multiset of its neighbours' colours, the
+    latter as two sums of hashes: sums combine before the shuffle, so a hub never gathers a list.
+    """
+    wide = lambda salt: F.sum(F.xxhash64("color", F.lit(salt)).cast("decimal(38,0)")).alias(f"s{salt}")
+    cur, classes, rounds = materialize(g.vertices.select("id", F.lit(0).cast("long").alias("color")), "wl"), 1, 0
+    while most is None or rounds < most:
+        rounds += 1
+        got = g.edges.join(cur.select(F.col("id").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("id")).agg(wide(1), wide(2))
+        cur = materialize(cur.join(got, "id", "left").select("id", F.xxhash64("color", F.coalesce(F.col("s1").cast("string"), F.lit("")), F.coalesce(F.col("s2").cast("string"), F.lit(""))).alias("color")), "wl")
+        n = cur.select("color").distinct().count()
+        if n <= classes:
+            break
+        classes = n
+    names = cur.groupBy("color").agg(F.min("id").alias("class"))
+    return cur.join(names, "color").select("id", "class")
+
+
+def betweenness(g: Graph) -> DataFrame:
+    """(id, score): shortest paths through each vertex of an undirected graph, each pair of ends once, not normalised.
+
+    All sources advance together, a level a round; dependencies then flow back from the deepest level.
+    """
+    step = g.edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
+    levels = [materialize(g.vertices.select(F.col("id").alias("src"), "id", F.lit(1.0).alias("sigma")), "bc")]
+    seen = levels[0].select("src", "id")
+    while True:
+        new = levels[-1].join(step, "id").groupBy("src", F.col("to").alias("id")).agg(F.sum("sigma").alias("sigma")).join(seen, ["src", "id"], "left_anti")
+        new = materialize(new, "bc")
+        if new.isEmpty():
+            break
+        levels.append(new)
+        seen = seen.union(new.select("src", "id"))
+    below, total = None, None
+    for level in reversed(levels[1:]):
+        if below is None:
+            here = level.withColumn("delta", F.lit(0.0))
+        else:
+            # each vertex of the level below shares its dependency among its predecessors on this level
+            part = below.join(step.select("id", F.col("to").alias("up")), "id").select("src", F.col("up").alias("id"), ((1 + F.col("delta")) / F.col("sigma")).alias("x"))
+            got = part.join(level.select("src", "id"), ["src", "id"], "left_semi").groupBy("src", "id").agg(F.sum("x").alias("x"))
+            here = level.join(got, ["src", "id"], "left").withColumn("delta", F.coalesce(F.col("x") * F.col("sigma"), F.lit(0.0))).drop("x")
+        below = materialize(here, "bc-back")
+        total = below if total is None else total.union(below)
+    if total is None:
+        return g.vertices.select("id", F.lit(0.0).alias("score"))
+    s = total.groupBy("id").agg(F.sum("delta").alias("d"))
+    return g.vertices.join(s, "id", "left").select("id", F.round(F.coalesce(F.col("d") / 2, F.lit(0.0)), 6).alias("score"))

@@ -296,6 +296,19 @@ def eigenvector_centrality(spark, d):
     return I.eigenvector_centrality(G.copurchase(spark, d).kept(), rounds=5)
 
 
+@query(COPART + _rounds("SELECT id, CAST(0 AS BIGINT) c FROM v", "SELECT id, dense_rank() OVER (ORDER BY c, l) c FROM (SELECT x.id id, x.c c, list_sort(list(y.c)) l FROM {p} x LEFT JOIN e ON e.src = x.id LEFT JOIN {p} y ON y.id = e.dst GROUP BY x.id, x.c)", 6) + " SELECT id, min(id) OVER (PARTITION BY c) AS class FROM x6")
+def wl_coloring(spark, d):
+    return I.wl_coloring(G.copurchase(spark, d).kept(), most=6)
+
+
+@query(COPART + """, h(src, id, depth) AS (SELECT id, id, 0 FROM v UNION SELECT h.src, e.dst, depth + 1 FROM h JOIN e ON e.src = h.id WHERE depth < 24), m AS (SELECT src, id, min(depth) depth FROM h GROUP BY 1, 2),
+p(src, id, depth) AS (SELECT id, id, 0 FROM v UNION ALL SELECT p.src, e.dst, p.depth + 1 FROM p JOIN e ON e.src = p.id JOIN m ON m.src = p.src AND m.id = e.dst AND m.depth = p.depth + 1), s AS (SELECT src, id, depth, CAST(count(*) AS DOUBLE) n FROM p GROUP BY 1, 2, 3),
+b AS (SELECT x.id id, sum(x.n * y.n / z.n) / 2 w FROM s x JOIN s y ON y.src = x.id JOIN s z ON z.src = x.src AND z.id = y.id AND z.depth = x.depth + y.depth WHERE x.id <> x.src AND x.id <> y.id GROUP BY 1)
+SELECT v.id AS id, round(coalesce(w, 0.0), 6) AS score FROM v LEFT JOIN b ON b.id = v.id""")
+def betweenness(spark, d):
+    return I.betweenness(G.copurchase(spark, d).kept())
+
+
 # -- semantic and set similarity --------------------------------------------------------------------------------------------
 IC = GEO + """, up(id, anc) AS (SELECT id, id FROM v UNION ALL SELECT up.id, e.src FROM up JOIN e ON e.dst = up.anc), tot AS (SELECT CAST(count(*) AS DOUBLE) n FROM v),
 ic AS (SELECT anc id, -ln(count(*) / (SELECT n FROM tot)) ic FROM up GROUP BY anc), p AS (SELECT CAST(100 + a.n_nationkey AS BIGINT) a, CAST(100 + b.n_nationkey AS BIGINT) b FROM nation a, nation b)
