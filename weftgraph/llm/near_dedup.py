@@ -17,6 +17,8 @@ BUCKETS, MANTISSA, BAND = 128, 10, 4
 _BITS = 57  # of a hash below its 7 bucket bits
 #: Members of a bucket that one task compares; larger mixed buckets are compared chunk against chunk.
 CHUNK = 1000
+#: Hashes of a sketch, and links a member names to each other component in the first round.
+SKETCH, FIRST_LINKS = 256, 4
 
 
 def _probes() -> np.ndarray:
@@ -150,35 +152,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, fn, "a long, b long").distinct()
 
 
-def _mixed_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between different components within a bucket.
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(id, sketch): the SKETCH smallest 32-bit hashes of the set; the whole set where it is no larger."""
 
-    ``members(key, id, comp, n, reg, size)`` of buckets that hold several components. Buckets beyond
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = [np.sort((K.mix64(np.frombuffer(x.as_buffer(), np.uint64)) >> K.U64(32)).astype(np.uint32))[:SKETCH].tobytes() for x in b.column(1)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "sketch"])
+
+    return map_batches(sets, fn, "id long, sketch binary")
+
+
+def _compare(sk: list[np.ndarray], n: np.ndarray, comp: np.ndarray, chunk: np.ndarray, t: float, most: int) -> list[tuple[int, int, bool]]:
+    """(row, other row, cut): likely links out of all but the largest component, the ``most`` best of a row to each component.
+
+    ``cut`` tells that a row had more. Common hashes are counted through a sorted list of all hashes.
+    """
+    size = np.array([len(x) for x in sk])
+    flat, owner = np.concatenate(sk), np.repeat(np.arange(len(sk)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    whole = n <= SKETCH
+    top = np.array([np.uint32(0xFFFFFFFF) if w else x[-1] for x, w in zip(sk, whole)])
+    names, count = np.unique(comp, return_counts=True)
+    out = []
+    for r in np.flatnonzero(comp != names[count.argmax()]):
+        lo, hi = np.searchsorted(flat, sk[r], "left"), np.searchsorted(flat, sk[r], "right")
+        k = hi - lo
+        hits = owner[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        same = np.bincount(hits, minlength=len(sk))
+        other = comp != comp[r]
+        if chunk.min() != chunk.max():
+            other &= chunk != chunk[r]
+        o = np.flatnonzero(other & (same > 0) & (100 * np.minimum(n, n[r]) >= 100 * t * np.maximum(n, n[r]) - 1e-6))
+        a, b = np.full(len(o), size[r]), size[o].copy()
+        for i in np.flatnonzero(~(whole[o] & whole[r])):
+            limit = min(top[r], top[o[i]])
+            a[i], b[i] = np.searchsorted(sk[r], limit, "right"), np.searchsorted(sk[o[i]], limit, "right")
+        used = np.maximum(a + b - same[o], 1)
+        est = same[o] / used
+        room = np.where(whole[o] & whole[r], 2e-3, 5 * np.sqrt(t * (1 - t) / used))
+        good = np.flatnonzero(est >= t - room)
+        good = good[np.lexsort((-est[good], comp[o[good]]))]
+        c = comp[o[good]]
+        rank = np.arange(len(c)) - np.searchsorted(c, c)
+        total = np.searchsorted(c, c, "right") - np.searchsorted(c, c)
+        out += [(int(r), int(o[g]), bool(w > most)) for g, w, x in zip(good, total, rank) if x < most]
+    return out
+
+
+def _mixed_pairs(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b, cut): likely links between different components within a bucket.
+
+    ``members(key, id, comp, n, sketch, size)`` of buckets that hold several components. Buckets beyond
     CHUNK members are cut into chunks and compared chunk by chunk, so a task holds two chunks at most.
-    Only likely pairs leave the task.
+    A row names the ``most`` likeliest links to each other component, for one that holds joins the two.
     """
     ship_package(members.sparkSession)
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     m = members.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    m = m.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp", "n", "reg")
+    m = m.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp", "n", "sketch")
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        reg = np.frombuffer(b"".join(pdf["reg"]), np.uint16).reshape(-1, BUCKETS)
-        n, comp, ids, c = (pdf[x].to_numpy() for x in ("n", "comp", "id", "c"))
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        out = []
-        for r in np.flatnonzero(c == i):
-            o = (comp != comp[r]) & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r]))
-            o &= (ids > ids[r]) if i == j else (c == j)
-            o = np.flatnonzero(o)
-            if len(o):
-                est, used = estimate(reg[o], reg[r], n[o], n[r])
-                o = o[_plausible(est, used, percent / 100)]
-                out.append(pd.DataFrame({"a": np.minimum(ids[o], ids[r]), "b": np.maximum(ids[o], ids[r])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    return m.groupBy("key", "i", "j").applyInPandas(fn, "a long, b long").distinct()
+        ids = pdf["id"].to_numpy()
+        got = _compare([np.frombuffer(x, np.uint32) for x in pdf["sketch"]], pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["c"].to_numpy(), percent / 100, most)
+        r, o = np.array([g[0] for g in got], int), np.array([g[1] for g in got], int)
+        return pd.DataFrame({"a": np.minimum(ids[r], ids[o]), "b": np.maximum(ids[r], ids[o]), "cut": np.array([g[2] for g in got], bool)})
+
+    return m.groupBy("key", "i", "j").applyInPandas(fn, "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -209,14 +250,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = materialize(_verified(likely, sets, percent), "links")
     comp = star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # members of one bucket that are still apart; registers travel only for these
-    placed = shared.where("size > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = placed.join(mixed, "key").select("key", "id", "comp", "size").join(reps.select("id", "n", "reg"), "id")
-    rest = _mixed_pairs(members, percent).join(likely, ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, sets, percent), "more")
-    if not more.isEmpty():
-        comp = star_components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # members of one bucket that are still apart, until no link is left that could join two components
+    sketches = materialize(_sketches(sets), "sketches")
+    most = FIRST_LINKS
+    while True:
+        placed = shared.where("size > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        members = placed.join(mixed, "key").select("key", "id", "comp", "size").join(reps.select("id", "n"), "id").join(sketches, "id")
+        rest = materialize(_mixed_pairs(members, percent, most), "rest")
+        more = materialize(_verified(rest.select("a", "b").join(likely, ["a", "b"], "left_anti"), sets, percent), "more")
+        found = not more.isEmpty()
+        if found:
+            links = links.union(more)
+            comp = star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if rest.where("cut").isEmpty():
+            break  # every likely link between the components was named, and verified
+        if not found:
+            most *= 16
     named = reps.select("d1", "d2", "id").join(comp, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     found = live.join(named, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = sig.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
