@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontam, fingerprint, near_dedup, packing, paragraph_dedup, secrets, warc
+from weftgraph.llm import kernels as K
 from weftgraph.llm.queries import tokenizer_path
 
 M64 = (1 << 64) - 1
@@ -230,6 +231,46 @@ def test_repeated_passages_are_found(spark, odd, none):
     assert paragraph_dedup.repeated_passages(odd).count() == 0 and paragraph_dedup.repeated_passages(none).count() == 0
 
 
+def test_every_link_of_a_crowded_bucket_is_found(spark, monkeypatch):
+    """Twins among paragraphs that all share their min-hash and are otherwise unlike, beyond a chunk."""
+    monkeypatch.setattr(paragraph_dedup, "CHUNK", 8)
+    g = random.Random(5)
+    word = lambda: "".join(g.choices("abcdefghijklmnop", k=8))
+    low = sorted((word() for _ in range(4000)), key=lambda w: int(K.mix64(K.words(*K.text_bytes(pa.array([w])))[0] + K.U64(0x51ED270B27B4F3CF))[0]))
+    mul, add = K.hash_family(1, 41)
+
+    def min_hash(phrase):
+        h = K.words(*K.text_bytes(pa.array([phrase])))[0]
+        x = h[:1]
+        for j in range(1, 5):
+            x = K.mix64(x * K.U64(0xD6E8FEB86659FD93) + h[j : j + 1])
+        return int(((x ^ add[0]) * mul[0])[0])
+
+    # the phrase's first and last words keep its paragraph whole, its one shingle is the smallest of all
+    phrase = min((" ".join([low[0], word(), word(), word(), low[1]]) for _ in range(4000)), key=min_hash)
+    rows = []
+    for d in range(0, 400, 2):
+        text = phrase + " " + " ".join(word() for _ in range(5))
+        rows += [(d, text), (d + 1, text + " " + word())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = paragraph_dedup.repeated_passages(df, recall=0.79, most_bands=1, least_words=5).collect()
+    assert {r["doc_id"] for r in got} == set(range(400))
+    assert all(r["n_docs"] == 2 for r in got) and len({r["class_id"] for r in got}) == 200
+
+
+def test_prefixes_of_alike_sets_meet():
+    g = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(g.integers(1, 40))
+        x = np.sort(g.choice(100, n, replace=False)).astype(np.uint64)
+        y = np.unique(np.where(g.random(n) < 0.1, g.integers(0, 100, n).astype(np.uint64), x))
+        if K.overlap(x, y) >= 0.8 * (len(x) + len(y) - K.overlap(x, y)) - 1e-9:
+            flat, size = np.concatenate([x, y]), np.array([len(x), len(y)])
+            common = np.arange(0, 100, 3).astype(np.uint64)
+            at = paragraph_dedup._rarest(flat, size, 0.8, common, np.arange(len(common)))
+            assert set(flat[at[at < len(x)]]) & set(flat[at[at >= len(x)]])
+
+
 def test_banding_reaches_its_recall():
     for most in (3, 8, 20):
         b, r = paragraph_dedup.tune(0.8, 0.99, most)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +23,12 @@ REACH = 6
 LONGEST = 64
 #: Size of the bit map that screens rows before an exact join, as a power of two: 2^27 bits are 16 MB.
 MAP_BITS = 27
-#: Paragraphs of one bucket that a task compares at a time.
+#: Paragraphs of one group that a chunk holds; a task compares two chunks at a time.
 CHUNK = 1000
+#: Groups of up to so many paragraphs are compared together, pair by pair.
+SMALL = 48
+#: Paragraphs whose shingles are counted to put them in order; no result depends on it.
+ORDER_SAMPLE = 50_000
 
 
 def tune(similarity: float, recall: float, most_bands: int) -> tuple[int, int]:
@@ -65,14 +70,13 @@ def cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start
 
 
-def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool = False, bits: np.ndarray | None = None) -> DataFrame:
+def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool = False, bits: Broadcast | None = None) -> DataFrame:
     """(doc_id, no, start, end, words, digest, k0.. or set) of every paragraph; byte positions in the text.
 
     ``digest`` stands for the paragraph's word sequence. ``bits``: map of the digests to keep.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     mul, add = K.hash_family(bands * rows, 41)
-    wanted = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off = K.text_bytes(b.column(1))
@@ -107,7 +111,7 @@ def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool =
         cols = [ids, pa.array(no.astype(np.int32)), pa.array(ws[start] - base), pa.array((we[end - 1] if len(end) else end) - base), pa.array(size.astype(np.int32)), pa.array(digest.view(np.int64))]
         names = ["doc_id", "no", "start", "end", "words", "digest"]
         if with_set:
-            keep = np.flatnonzero(marked(wanted.value, digest)) if wanted is not None else np.arange(len(start))
+            keep = np.flatnonzero(marked(bits.value, digest)) if bits is not None else np.arange(len(start))
             cols = [c.take(pa.array(keep)) for c in cols]
             cols.append(pa.array([np.unique(g[start[i] : end[i]][ok[start[i] : end[i]]]).tobytes() for i in keep.tolist()], pa.binary()))
             names.append("set")
@@ -120,7 +124,7 @@ def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool =
     return map_batches(docs, fn, schema)
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
+def bitmap(ids: DataFrame) -> Broadcast:
     """A bit for each hash in ids(h), at its low bits: at most 2^MAP_BITS bits, whatever the number of hashes.
 
     The words are joined in Spark; what reaches the driver, and each task, has that bound. Beyond
@@ -133,7 +137,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     out = np.zeros(1 << (size - 6), np.int64)
     got = words.toPandas()
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -141,41 +145,170 @@ def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(low >> K.U64(6)).astype(np.int64)] >> (low & K.U64(63))) & K.U64(1) > 0
 
 
-def screened(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+def screened(df: DataFrame, column: str, bits: Broadcast) -> DataFrame:
     """Rows whose hash the map marks: all that an exact join would keep, and few others, without a shuffle."""
     at = df.columns.index(column)
-    shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array(marked(shared.value, b.column(at).to_numpy(zero_copy_only=False))))
+        return b.filter(pa.array(marked(bits.value, b.column(at).to_numpy(zero_copy_only=False))))
 
     return map_batches(df, fn, df.schema)
 
 
-def _leaders(similarity: float):
-    """Clusters a chunk: a paragraph links to every leader it resembles, or becomes one (a = b). ``more``: the bucket has other chunks."""
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("digest")
-        chosen: list[tuple[int, np.ndarray]] = []
-        out = []
-        for d, raw in zip(pdf["digest"], pdf["set"]):
-            x = np.frombuffer(raw, np.uint64)
-            near = []
-            for lead, y in chosen:
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
-                    n = K.overlap(x, y)
-                    if n >= similarity * (len(x) + len(y) - n) - 1e-9:
-                        near.append(lead)
-            if near:
-                out += [(lead, d) for lead in near]
-            else:
-                chosen.append((d, x))
-                out.append((d, d))
-        more = bool(pdf["size"].iloc[0] > CHUNK)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "a": [o[0] for o in out], "b": [o[1] for o in out], "more": more})
-
-    return fn
+def _rarest(flat: np.ndarray, size: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Positions in ``flat`` of each set's n - ceil(similarity * n) + 1 rarest shingles.
+
+    Two sets of that Jaccard similarity share ceil(similarity * n) of either's shingles, so one at least of these,
+    whatever the order is, as long as it is the same for all: ``times`` only keeps the groups small.
+    """
+    row = np.repeat(np.arange(len(size)), size)
+    count = np.zeros(len(flat), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        count = np.where(common[at] == flat, times[at], 0)
+    order = np.lexsort((flat, count, row))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    return order[place <= np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64), size)]
+
+
+def _small_groups(first: np.ndarray, comp: np.ndarray, chunk: np.ndarray, flat: np.ndarray, size: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(row, row) of all linked pairs of different components within groups; ``first``: start of each group + total."""
+    n = len(size)
+    last = np.repeat(first[1:], np.diff(first))
+    many = last - np.arange(n) - 1
+    p = np.repeat(np.arange(n), many)
+    q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
+    group = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    lo, hi = np.full(len(first) - 1, np.iinfo(np.int32).max), np.zeros(len(first) - 1, np.int64)
+    np.minimum.at(lo, group, chunk), np.maximum.at(hi, group, chunk)
+    across = (lo < hi)[group]
+    a, b = np.where(size[p] <= size[q], p, q), np.where(size[p] <= size[q], q, p)
+    ok = (comp[a] != comp[b]) & (size[a] >= similarity * size[b] - 1e-9) & (~across[a] | (chunk[a] != chunk[b]))
+    a, b = a[ok], b[ok]
+    if not len(a):
+        return []
+    names, number = np.unique(flat, return_inverse=True)
+    start = np.cumsum(size) - size
+    held = np.repeat(np.arange(n), size) * len(names) + number
+    out = []
+    for i in range(0, len(a), 100_000):
+        x, y = a[i : i + 100_000], b[i : i + 100_000]
+        k = size[x]
+        owner = np.repeat(np.arange(len(x)), k)
+        want = y[owner] * len(names) + number[start[x][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)]
+        at = np.minimum(np.searchsorted(held, want), len(held) - 1)
+        both = np.bincount(owner[held[at] == want], minlength=len(x))
+        good = both >= similarity * (size[x] + size[y] - both) - 1e-9
+        out += zip(x[good].tolist(), y[good].tolist())
+    return out
+
+
+def _large_group(comp: np.ndarray, chunk: np.ndarray, flat: np.ndarray, size: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(row, row) of linked pairs that join the components of a group. Components merge on the way, which spares the pairs inside."""
+    comp = np.unique(comp, return_inverse=True)[1]
+    across = chunk.min() < chunk.max()
+    start = np.cumsum(size) - size
+    order = np.argsort(flat, kind="stable")
+    sorted_flat, owner = flat[order], np.repeat(np.arange(len(size)), size)[order]
+    out = []
+    for r in range(len(size)):
+        x = flat[start[r] : start[r] + size[r]]
+        lo, hi = np.searchsorted(sorted_flat, x, "left"), np.searchsorted(sorted_flat, x, "right")
+        k = hi - lo
+        both = np.bincount(owner[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())], minlength=len(size))
+        near = (both >= similarity * (size + size[r] - both) - 1e-9) & (comp != comp[r])
+        if across:
+            near &= chunk != chunk[r]
+        for o in np.flatnonzero(near):
+            if comp[o] != comp[r]:
+                out.append((r, int(o)))
+                comp[comp == comp[o]] = comp[r]
+    return out
+
+
+def _joining(it: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Linked components (a, b) from rows (token, i, j, c, comp, set) sorted by group (token, i, j)."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        token, i, j, c, comp = (t.column(n).to_numpy() for n in ("token", "i", "j", "c", "comp"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        new = np.flatnonzero((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        first = np.concatenate([[0], new, [len(token)]])
+        count = np.diff(first)
+        size = np.array([len(x) for x in sets], np.int64)
+        pairs = []
+        for lo, hi in zip(first[:-1][count > SMALL], first[1:][count > SMALL]):
+            pairs += [(lo + p, lo + q) for p, q in _large_group(comp[lo:hi], c[lo:hi], np.concatenate(sets[lo:hi]), size[lo:hi], similarity)]
+        rows = np.flatnonzero(np.repeat((count > 1) & (count <= SMALL), count))
+        if len(rows):
+            cut = np.append(0, np.cumsum(count[(count > 1) & (count <= SMALL)]))
+            got = _small_groups(cut, comp[rows], c[rows], np.concatenate([sets[r] for r in rows]), size[rows], similarity)
+            pairs += [(rows[p], rows[q]) for p, q in got]
+        a, b = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(comp[a], comp[b])), pa.array(np.maximum(comp[a], comp[b]))], ["a", "b"])
+
+    rest: pa.Table | None = None
+    for batch in it:
+        t = pa.Table.from_batches([batch])
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        # the last group may go on in the next batch
+        same = np.ones(t.num_rows, bool)
+        for n in ("token", "i", "j"):
+            x = t.column(n).to_numpy()
+            same &= x == x[-1]
+        done = t.num_rows - int(same.sum())
+        if done:
+            yield links(t.slice(0, done))
+        rest = t.slice(done)
+    if rest is not None and rest.num_rows:
+        yield links(rest)
+
+
+def _common(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) that occur more than twice in about ORDER_SAMPLE of members(digest, set), at most twice as many."""
+    rate = max(1, members.count() // ORDER_SAMPLE)
+    some = members.where(F.pmod(F.xxhash64("digest"), F.lit(rate)) == 0).select("set")
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], ["t"])
+
+    got = map_batches(some, fn, "t long").groupBy("t").agg(F.count("*").alias("n")).where("n > 2").toArrow()
+    t, n = got.column("t").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(t)
+    return t[order], n[order]
+
+
+def _still_apart(pairs: DataFrame, comp: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): components of comp(id, component) that links within a bucket join; a paragraph without a component is its own.
+
+    The members of buckets that hold several components meet in groups by each of their rarest shingles
+    (see ``_rarest``), in which every pair of different components is compared on the full sets: no link is
+    missed. Groups beyond CHUNK are cut into chunks and compared chunk by chunk, two in a task at most.
+    """
+    placed = pairs.select("key", F.col("b").alias("digest")).join(comp.withColumnRenamed("id", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    members = materialize(placed.join(mixed, "key", "left_semi").select("digest", "comp").distinct().join(sets, "digest"), "apart")
+    shared = members.sparkSession.sparkContext.broadcast(_common(members))
+
+    def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(2)]
+        size = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        at = _rarest(flat, size, similarity, *shared.value)
+        row = pa.array(np.repeat(np.arange(len(size)), size)[at])
+        return pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), b.column(0).take(row), b.column(1).take(row)], ["token", "digest", "comp"])
+
+    tokens = materialize(map_batches(members.select("digest", "comp", "set"), prefixes, "token long, digest long, comp long"), "prefixes")
+    shared.destroy()
+    groups = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    m = tokens.join(groups, "token").withColumn("c", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(members.select("digest", "set"), "digest")
+    m = m.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "comp", "set")
+    m = m.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return m.mapInArrow(lambda it: _joining(it, similarity), "a long, b long").distinct()
 
 
 def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.99, most_bands: int = 3, least_words: int = 20) -> DataFrame:
@@ -187,8 +320,8 @@ def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     class and ``n_docs`` the least number of documents that share one of its paragraphs. A passage is ``removed``
     unless each class in it first occurs here (smallest doc_id, then place). Positions are UTF-8 bytes, end exclusive.
 
-    A bucket's members are compared with its smallest digest, and those unlike it with each other's leaders in chunks
-    of CHUNK, dealt anew up to three times.
+    A bucket's members are compared with its smallest digest. Where that leaves several components in a bucket, all its
+    members of different components are compared, so no link that would join two of them is missed.
 
     Null and empty texts have no paragraphs. Repetition within one document alone is not counted.
     Rows without an id are left out; repeated rows of an id count as one document. Other columns are ignored.
@@ -201,12 +334,16 @@ def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     # bucket of a band: its smallest digest, to which the others are compared
     keyed = content.select("digest", F.explode(F.array(*names)).alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("other")).where("hub < other").select("key", "hub"), "buckets")
-    in_bucket = screened(keyed, "key", bitmap(buckets.select(F.col("key").alias("h"))))
+    bits = bitmap(buckets.select(F.col("key").alias("h")))
+    in_bucket = screened(keyed, "key", bits)
     pairs = materialize(in_bucket.join(buckets, "key").where("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b"), "key"), "pairs")
+    bits.destroy()
     todo = pairs.select("a", "b").distinct()
     involved = materialize(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), "involved")
-    with_sets = paragraphs(docs, k, bands, rows, True, bitmap(involved.select(F.col("digest").alias("h")))).select("digest", "set")
+    bits = bitmap(involved.select(F.col("digest").alias("h")))
+    with_sets = paragraphs(docs, k, bands, rows, True, bits).select("digest", "set")
     sets = materialize(with_sets.groupBy("digest").agg(F.max("set").alias("set")).join(involved, "digest", "left_semi"), "sets")
+    bits.destroy()
     percent = similarity
 
     def holds(x: pa.RecordBatch) -> pa.RecordBatch:
@@ -222,22 +359,18 @@ def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
         return map_batches(both.select("a", "b", "sa", "sb"), holds, "a long, b long")
 
     links = materialize(verified(todo), "links")
-    # members that their hub does not hold are compared among themselves, a bounded chunk of a bucket in a task
-    left = pairs.join(links, ["a", "b"], "left_anti").select("key", F.col("b").alias("digest"))
-    for salt in range(3):
-        crowd = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        chunked = left.join(crowd, "key").withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(salt)), F.ceil(F.col("size") / CHUNK)))
-        told = materialize(chunked.join(sets, "digest").groupBy("key", "chunk").applyInPandas(_leaders(similarity), "key long, a long, b long, more boolean"), "leaders")
-        links = links.union(told.where("a <> b").select("a", "b"))
-        left = told.where("a = b and more").select("key", F.col("a").alias("digest"))
-        if left.isEmpty():
-            break
-    comp = star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    comp = materialize(star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "hub-components")
+    joined = materialize(_still_apart(pairs, comp, sets, similarity), "joined")
+    wider = star_components(joined.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("component"), F.col("component").alias("wide"))
+    alone = wider.join(comp.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), "component")
+    comp = materialize(comp.union(alone).join(wider, "component", "left").select("id", F.coalesce("wide", "component").alias("component")), "components")
     named = content.select("digest", "lo", "hi").join(comp.withColumnRenamed("id", "digest"), "digest", "left").withColumn("class_id", F.coalesce("component", "digest"))
     wide = named.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("class_id")
     shared = materialize(named.select("digest", "class_id").join(wide, "class_id"), "shared")
-    near = screened(all_p.select("doc_id", "no", "start", "end", "words", "digest"), "digest", bitmap(shared.select(F.col("digest").alias("h"))))
+    bits = bitmap(shared.select(F.col("digest").alias("h")))
+    near = screened(all_p.select("doc_id", "no", "start", "end", "words", "digest"), "digest", bits)
     occurs = materialize(near.join(shared, "digest").drop("digest").distinct(), "occurs")
+    bits.destroy()
     firsts = occurs.groupBy("class_id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count_distinct("doc_id").alias("n"))
     marked = occurs.join(firsts, "class_id").withColumn("here", (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.no") == F.col("no")))
     order = Window.partitionBy("doc_id").orderBy("no", "class_id")
