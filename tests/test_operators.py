@@ -1,5 +1,6 @@
 """Small graphs with known answers, edge cases included."""
 
+import numpy as np
 import pytest
 
 from weftgraph.graph import Graph, GraphError
@@ -114,3 +115,13 @@ def test_entry_imports_and_registers():
     import __spark_entry__ as e
 
     assert "triangles_copart" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_scores_run_to_convergence_or_fail(spark):
+    g = graph(spark, 5, [(0, 1), (1, 2), (2, 3), (3, 4)])
+    score = {r["id"]: r["score"] for r in I.eigenvector_centrality(g).collect()}
+    exact = np.sin(np.arange(1, 6) * np.pi / 6)
+    assert np.allclose([score[i] for i in range(5)], exact / np.linalg.norm(exact), atol=1e-4)
+    for f in (I.pagerank, I.katz, I.eigenvector_centrality):
+        with pytest.raises(GraphError):
+            f(g, most=1)

@@ -194,37 +194,65 @@ def core_numbers(g: Graph) -> DataFrame:
     return g.vertices.join(cur, "id", "left").join(loops, "id", "left").select("id", (F.coalesce("c", F.lit(0)) + F.coalesce("loop", F.lit(0))).cast("long").alias("core"))
 
 
-def pagerank(g: Graph, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(id, score) after ``rounds`` rounds from the uniform start; the mass of vertices without edges is spread evenly."""
+def _moved(old: DataFrame, new: DataFrame) -> float:
+    """Sum of the changes between two tables (id, score)."""
+    both = old.select("id", F.col("score").alias("was")).join(new.select("id", "score"), "id")
+    return both.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("was"))), F.lit(0.0))).first()[0]
+
+
+def pagerank(g: Graph, alpha: float = 0.85, rounds: int | None = None, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(id, score) from the uniform start, until a round changes less than n * ``tolerance`` in all; an error after ``most``.
+
+    With ``rounds``, exactly so many and no test. The mass of vertices without edges is spread evenly.
+    """
     d = materialize(out_degree(g), "deg")
     n = d.count()
     cur = materialize(d.select("id", "degree", F.lit(1.0 / max(n, 1)).alias("score")), "pr")
-    for _ in range(rounds):
+    for _ in range(most if rounds is None else rounds):
+        before = cur
         dangling = cur.where("degree = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         got = g.edges.join(cur.where("degree > 0").select(F.col("id").alias("src"), F.try_divide("score", "degree").alias("s")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("s").alias("got"))
         cur = materialize(d.join(got, "id", "left").select("id", "degree", (F.lit((1 - alpha) / max(n, 1) + alpha * dangling / max(n, 1)) + alpha * F.coalesce("got", F.lit(0.0))).alias("score")), "pr")
+        if rounds is None and (not n or _moved(before, cur) < n * tolerance):
+            break
+    else:
+        if rounds is None:
+            raise GraphError("PageRank did not converge")
     return cur.select("id", F.round("score", 9).alias("score"))
 
 
-def katz(g: Graph, alpha: float = 0.01, beta: float = 1.0, rounds: int = 20) -> DataFrame:
-    """x = alpha A x + beta, ``rounds`` rounds from 0, unit length at the end."""
+def katz(g: Graph, alpha: float = 0.01, beta: float = 1.0, rounds: int | None = None, most: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+    """x = alpha A x + beta from 0, unit length at the end. Rounds and errors as in ``pagerank``."""
+    n = g.vertices.count()
     cur = materialize(g.vertices.select("id", F.lit(0.0).alias("score")), "katz")
-    for _ in range(rounds):
+    for _ in range(most if rounds is None else rounds):
+        before = cur
         got = g.edges.join(cur.select(F.col("id").alias("dst"), "score"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("score").alias("got"))
         cur = materialize(g.vertices.join(got, "id", "left").select("id", (alpha * F.coalesce("got", F.lit(0.0)) + beta).alias("score")), "katz")
+        if rounds is None and (not n or _moved(before, cur) < n * tolerance):
+            break
+    else:
+        if rounds is None:
+            raise GraphError("Katz centrality did not converge")
     norm = cur.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
     return cur.select("id", F.round(F.col("score") / norm, 9).alias("score"))
 
 
-def eigenvector_centrality(g: Graph, rounds: int = 20) -> DataFrame:
-    """Power iteration on A + I from the uniform vector, unit length after each round."""
+def eigenvector_centrality(g: Graph, rounds: int | None = None, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """Power iteration on A + I from the uniform vector, unit length after each round. Rounds and errors as in ``pagerank``."""
     n = max(g.vertices.count(), 1)
     cur = materialize(g.vertices.select("id", F.lit(1.0 / n).alias("score")), "eig")
-    for _ in range(rounds):
+    for _ in range(most if rounds is None else rounds):
+        before = cur
         got = g.edges.join(cur.select(F.col("id").alias("dst"), "score"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("score").alias("got"))
         raw = materialize(cur.join(got, "id", "left").select("id", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score")), "eig")
         norm = raw.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
         cur = raw.select("id", (F.col("score") / norm).alias("score"))
+        if rounds is None and _moved(before, cur) < n * tolerance:
+            break
+    else:
+        if rounds is None:
+            raise GraphError("eigenvector centrality did not converge")
     return cur.select("id", F.round("score", 9).alias("score"))
 
 
