@@ -195,19 +195,73 @@ def test_benchmark_items_are_found(spark, odd, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.contaminated(df, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == set(want.items())
-    assert all(r["edits"] <= r["item_words"] * 0.2 for r in got)
+    texts, plain = dict(rows), dict(items)
+    for r in got:
+        assert r["edits"] <= r["item_words"] * 0.2
+        assert _plain_edits(_plain_words(plain[r["item_id"]]), _plain_words(texts[r["doc_id"]][r["start"] : r["end"]]))[-1] == r["edits"]
+    # equally good places: the first; the end of a text cuts a window off
+    twice = spark.createDataFrame([(500, f"x {items[0][1]} y {items[0][1]}"), (500, f"x {items[0][1]} y {items[0][1]}"), (None, items[1][1]), (501, " ".join(items[2][1].split()[1:]))], df.schema)
+    seen = [tuple(r) for r in decontam.contaminated(twice, bench).select("doc_id", "item_id", "edits", "start").collect()]
+    assert sorted(seen, key=str) == sorted([(500, 0, 0, 2), (500, 0, 0, 2), (None, 1, 0, 0), (501, 2, 1, 0)], key=str)
+    assert decontam.drop_contaminated(twice, spark.createDataFrame([(None, items[0][1])], bench.schema)).count() == 2
     clean = spark.createDataFrame([(100 + d, " ".join(word() for _ in range(60))) for d in range(20)], df.schema)
     assert decontam.drop_contaminated(df.union(clean), bench).count() == 20
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(none, bench).count() == 0
     assert decontam.contaminated(df, bench.where("false")).count() == 0
 
 
-def test_edit_distance_to_a_prefix():
-    a = np.array([1, 2, 3, 4, 5], np.uint64)
-    assert decontam.edit_distance(a, np.array([1, 2, 3, 4, 5, 9], np.uint64), 2) == (0, 5)
-    assert decontam.edit_distance(a, np.array([1, 9, 3, 4, 5, 9], np.uint64), 2) == (1, 5)
-    assert decontam.edit_distance(a, np.array([1, 2, 4, 5, 9, 9], np.uint64), 2) == (1, 4)
-    assert decontam.edit_distance(a, np.array([7, 7, 7, 7, 7], np.uint64), 2)[0] == 3
+def _plain_words(text):
+    return re.sub(r"[^0-9A-Za-z\x80-\U0010ffff \t\n\r\f\v]", "", text).lower().split()
+
+
+def _plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row
+
+
+def _edited(g, words, edits, word):
+    out = list(words)
+    for _ in range(edits):
+        k, i = g.randrange(3), g.randrange(len(out))
+        if k == 0:
+            out[i] = word()
+        elif k == 1:
+            out.insert(i, word())
+        elif len(out) > 1:
+            del out[i]
+    return out
+
+
+def test_places_equal_brute_force_over_all_substrings():
+    g = np.random.default_rng(3)
+    for _ in range(60):
+        n, m = int(g.integers(1, 9)), int(g.integers(1, 16))
+        item, text = g.integers(0, 5, n).astype(np.uint64), g.integers(0, 5, m).astype(np.uint64)
+        want = min((c, u, u + k) for u in range(m + 1) for k, c in enumerate(_plain_edits(item, text[u:])))
+        got = decontam.best_places(item[None], text[None], n + m)
+        assert tuple(int(x[0]) for x in got) == want
+
+
+def test_benchmark_recall_at_the_most_edits_by_length():
+    """Items with floor(0.2 n) mixed edits: at least 95 % of each length are found, and each span re-reads as its item."""
+    g = random.Random(3)
+    words = ["".join(g.choices("abcdefghijklmnop", k=g.randrange(2, 9))) for _ in range(3000)]
+    word = lambda: g.choice(words)
+    for n in (5, 8, 15, 30, 60, 120):
+        items = [[word() for _ in range(n)] for _ in range(60)]
+        it = decontam.Items(list(range(60)), pa.array([" ".join(x) for x in items]), decontam.Limits())
+        texts = ["é " + " ".join([word() for _ in range(30)] + _edited(g, x, int(0.2 * n), word) + [word() for _ in range(30)]) for x in items]
+        got = it.find(pa.array(texts))
+        assert sum(t == i for t, i, *_ in got) >= 0.95 * 60
+        for t, i, edits, lo, hi in got:
+            assert edits <= int(0.2 * n) and _plain_edits(items[i], _plain_words(texts[t][lo:hi]))[-1] == edits
+        alone = [it.find(pa.array([x])) for x in texts[:10]]
+        assert [(0, *m[1:]) for m in got if m[0] < 10] == [m for a in alone for m in a]
 
 
 def test_repeated_passages_are_found(spark, odd, none):

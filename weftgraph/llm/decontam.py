@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
 from weftgraph.llm.common import map_batches
+from weftgraph.runtime import materialize
 
 #: Most bytes of benchmark text that travel to the tasks at once; a larger benchmark takes several passes.
 ITEM_BYTES = 8 << 20
@@ -23,22 +24,23 @@ _END = K.U64(0x9E6C63D0876A9A47)
 
 @dataclass(frozen=True)
 class Limits:
-    """``edits``: most word edits, as a share of the item's words. ``apart``: share of embedded positions that
-    such edits may set apart, for which ``samples`` positions a key are drawn often enough to reach ``recall``."""
+    """``edits``: most word edits, as a share of the item's words. ``tables`` keys of ``samples`` embedded positions each.
+
+    ``tables`` is set from measured recall: items with the most edits allowed, of 8 to 120 words, are found by 24 keys
+    of two positions in all of 200 trials a length; 32 leave some room. Positions lie within the first
+    2 * ``reach`` * n steps of a walk over n words, which is where a walk ends.
+    """
 
     edits: float = 0.2
-    apart: float = 0.6
+    tables: int = 32
     samples: int = 2
-    recall: float = 0.995
-
-    def tables(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.apart) ** self.samples))
+    reach: float = 0.9
 
 
-def normal_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, byte start, byte end, first word of each text + total, bytes) of words without marks and case.
+def normal_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, byte start, byte end, first word of each text + total, bytes, offsets of the texts) of words without marks and case.
 
-    Punctuation inside or around a word is dropped, letters are lowered in ASCII and Latin-1.
+    Punctuation inside or around a word is dropped, letters are lowered in ASCII and Latin-1. Positions count from the first text.
     """
     data, off = K.text_bytes(col)
     keep = np.flatnonzero(_KEEP[data])
@@ -48,140 +50,198 @@ def normal_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         d[1:][up] += 0x20
     new = np.searchsorted(keep, off)
     h, s, e, first = K.words(d, new)
-    return h, keep[s] if len(s) else s, keep[e - 1] + 1 if len(e) else e, first, data
-
-
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int]:
-    """Fewest word edits between ``a`` and a prefix of ``b``, and that prefix's length; most + 1 if above ``most``."""
-    n = len(a)
-    if len(b) >= n and np.array_equal(a, b[:n]):
-        return 0, n
-    row = np.arange(len(b) + 1)
-    for i in range(1, n + 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != a[i - 1]))
-        k = np.arange(len(row))
-        row = np.minimum.accumulate(new - k) + k  # insertions
-        if row.min() > most:
-            return most + 1, 0
-    j = int(row.argmin())
-    return int(row[j]), j
+    return h, keep[s] if len(s) else s, keep[e - 1] + 1 if len(e) else e, first, data, off
+
+
+_START = np.int64(1 << 20)
+
+
+def best_places(items: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the cheapest place of each row of ``items`` (P, n) within its row of ``texts`` (P, m).
+
+    Word edits: one for each word replaced, added or left out. Ties: the smallest start, then the smallest end. All
+    rows advance together; a cell holds its cost and, below it, where its place starts. Rows above ``most`` get most + 1.
+    """
+    p, n = items.shape
+    m = texts.shape[1]
+    column = np.arange(m + 1, dtype=np.int64)
+    cell = np.broadcast_to(column, (p, m + 1))
+    for i in range(n):
+        new = cell + _START  # the item's word is left out
+        np.minimum(new[:, 1:], cell[:, :-1] + np.where(texts == items[:, i : i + 1], 0, _START), out=new[:, 1:])
+        step = column * _START  # words added: the cheapest cell to the left, one edit a step
+        cell = np.minimum.accumulate(new - step, axis=1) + step
+    end = cell.argmin(axis=1)
+    best = cell[np.arange(p), end]
+    return np.minimum(best // _START, most + 1), best % _START, end
 
 
 class Items:
-    """Benchmark items with their embeddings under every table, and an index of their word n-grams.
+    """Benchmark items of one block: CGK keys of every item, and the word n-grams that a window of an item's size must hold.
 
-    An item of W words with at most e edits keeps at least W - g + 1 - g * e of its g-grams (each edit
-    spoils g at most), on diagonals within e of each other. Only windows that meet this necessary
-    condition are embedded, so the screen loses nothing that the verification would accept.
+    Candidates come from the keys alone: a window of a text and an item of the window's size are compared
+    if one of the tables' keys is equal. Windows are not embedded where no item of their size can match: an item of n words with at
+    most e edits keeps at least n - g + 1 - g * e of its g-grams (each edit spoils g at most), and a window
+    must hold so many grams of items of its size. That screen names no item and loses nothing.
     """
 
-    def __init__(self, ids: list[int], col: pa.Array, limits: Limits):
+    def __init__(self, ids: list[int | None], col: pa.Array, limits: Limits):
         self.limits = limits
-        h, _, _, first, _ = normal_words(col)
-        self.ids = np.array(ids, np.int64)
-        self.words = [h[first[i] : first[i + 1]] for i in range(len(ids))]
-        n = np.array([len(w) for w in self.words], np.int64)
-        self.size, self.edits = n, np.floor(n * limits.edits + 1e-9).astype(np.int64)
-        # the longest gram, up to three words, of which at least one must stay
-        self.gram = np.select([n - 2 - 3 * self.edits >= 1, n - 1 - 2 * self.edits >= 1], [3, 2], 1)
-        self.need = np.maximum(n - self.gram + 1 - self.gram * self.edits, 1)
-        t = limits.tables()
+        h, _, _, first, _, _ = normal_words(col)
+        n = np.diff(first)
+        rows = np.flatnonzero(n > 0)
+        self.ids, self.size = [ids[i] for i in rows], n[rows]
+        self.words = [h[first[i] : first[i + 1]] for i in rows]
         g = np.random.default_rng(11)
-        self.salt = g.integers(1, 1 << 62, t, dtype=np.uint64) | K.U64(1)
-        self.at = g.random((t, limits.samples))
-        self.keys = self.embed(np.concatenate([*self.words, np.zeros(1, np.uint64)]), np.concatenate([[0], np.cumsum(n)])[:-1], n)
+        self.longest = int(self.size.max()) if len(rows) else 0
+        self.coin = g.integers(1, 1 << 63, (limits.tables, 2 * self.longest), dtype=np.uint64) | K.U64(1)
+        self.at = g.random((limits.tables, limits.samples)) * limits.reach
+        one = lambda n: np.array([n], np.int64)
+        keys = [self.keys(w, one(0), one(len(w)), one(len(w)))[0] for w in self.words]
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.key, self.of = key[order], np.repeat(np.arange(len(self.words)), limits.tables)[order]
+        # for each size: the longest gram, up to three words, of which at least one must stay
         self.grams = {}
-        for k in (1, 2, 3):
-            of = np.flatnonzero((self.gram == k) & (n >= k))
-            if len(of):
-                code = np.concatenate([grams(self.words[i], k) for i in of])
-                item = np.repeat(of, n[of] - k + 1)
-                pos = np.concatenate([np.arange(n[i] - k + 1) for i in of])
-                order = np.argsort(code, kind="stable")
+        found: dict[int, list] = {1: [], 2: [], 3: []}
+        for size in np.unique(self.size):
+            k, _, _ = self.rule(int(size))
+            code = np.unique(np.concatenate([grams(self.words[i], k) for i in np.flatnonzero(self.size == size)]))
+            found[k].append((code, np.full(len(code), size)))
+        for k, parts in found.items():
+            if parts:
+                code, size = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((size, code))
                 seen = np.zeros(1 << 20, bool)
                 seen[(code & K.U64((1 << 20) - 1)).astype(np.int64)] = True
-                self.grams[k] = code[order], item[order], pos[order], seen
+                self.grams[k] = code[order], size[order], seen
+
+    def rule(self, n: int) -> tuple[int, int, int]:
+        """(words of a gram, grams that stay, most edits) of an item of n words."""
+        e = int(n * self.limits.edits + 1e-9)
+        k = 3 if n - 2 - 3 * e >= 1 else 2 if n - 1 - 2 * e >= 1 else 1
+        return k, max(n - k + 1 - k * e, 1), e
 
-    def embed(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """CGK walk over words[start : start + size] under each table: one key of sampled symbols a table.
+    def keys(self, words: np.ndarray, start: np.ndarray, size: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """(P, tables) keys of the windows of ``size`` words from ``start``, which end at ``stop`` where the text is shorter.
 
-        Step j copies the current word and moves on if a random bit of (table, j, word) says so; beyond
-        the window it copies an end mark. Three steps a word, as the embedding asks for.
+        CGK walk: step j of a table copies the current word and moves on if the coin of (table, j, word) says so;
+        beyond the window it copies an end mark. Two steps a word. A table's key takes the words copied at its sampled steps.
+        Windows of one start share the walk, which does not depend on the window's end.
         """
-        n, t = len(start), len(self.salt)
-        key = np.zeros((n, t), np.uint64)
-        if not n:
-            return key
-        stop = (start + size)[:, None]
-        pos = np.repeat(start[:, None], t, axis=1)
-        take = np.floor(self.at[None] * (3 * size)[:, None, None]).astype(np.int64)
-        last = take.max(axis=2)
-        for j in range(int(last.max()) + 1):
-            c = np.where(pos < stop, words[np.minimum(pos, len(words) - 1)], _END)
-            for s in range(take.shape[2]):
-                hit = take[:, :, s] == j
-                key[hit] = K.mix64(key[hit] * K.U64(0xD6E8FEB86659FD93) + c[hit] + K.U64(s))
-            bit = (c * (self.salt + K.U64(2 * j * 0x9E3779B9))) >> K.U64(63)
-            pos += bit.astype(np.int64)
-        return key
+        t = self.limits.tables
+        out = np.zeros((len(start), t), np.uint64)
+        begin, which = np.unique(start, return_inverse=True)
+        take = np.floor(self.at[None] * (2 * size)[:, None, None]).astype(np.int64)  # (P, tables, samples)
+        longest = np.zeros(len(begin), np.int64)
+        np.maximum.at(longest, which, size)
+        stop = np.minimum(stop, start + size)
+        many = max(1, min(256, (1 << 20) // max(1, self.longest * t)))  # bounds the paths that are held at once
+        for lo in range(0, len(begin), many):
+            b = begin[lo : lo + many]
+            steps = int(2 * longest[lo : lo + many].max())
+            pos = np.repeat(b[:, None], t, axis=1)
+            path = np.empty((steps, len(b), t), np.int64)
+            for j in range(steps):
+                path[j] = pos
+                pos = pos + ((words[np.minimum(pos, len(words) - 1)] * self.coin[:, j]) >> K.U64(63)).astype(np.int64)
+            rows = np.flatnonzero((which >= lo) & (which < lo + many))
+            column = np.arange(t)
+            for r in range(0, len(rows), 4096):
+                q = rows[r : r + 4096]
+                key = np.repeat(K.mix64(size[q].astype(np.uint64) * K.U64(0x9E3779B97F4A7C15))[:, None], t, axis=1) + column.astype(np.uint64)
+                for s in range(take.shape[2]):
+                    at = path[take[q, :, s], which[q, None] - lo, column]
+                    c = np.where(at < stop[q][:, None], words[np.minimum(at, len(words) - 1)], _END)
+                    key = K.mix64(key * K.U64(0xD6E8FEB86659FD93) + c + K.U64(s))
+                out[q] = key
+        return out
 
     def windows(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, start word) of the windows that keep enough of an item's grams."""
+        """(text, start word, size) of the windows that hold enough grams of items of their size."""
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        parts = []
-        for k, (code, item, pos, seen) in self.grams.items():
+        out = []
+        for k, (code, sizes, seen) in self.grams.items():
             if len(h) < k:
                 continue
             g = grams(h, k)
             at = np.flatnonzero(seen[(g & K.U64((1 << 20) - 1)).astype(np.int64)] & (row[: len(g)] == row[k - 1 :]))
             lo, hi = np.searchsorted(code, g[at], "left"), np.searchsorted(code, g[at], "right")
-            n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            e = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at, n)
-            parts.append((row[at], item[e], at - pos[e]))
-        if not parts:
+            many = hi - lo
+            size = sizes[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            at = np.repeat(at, many)
+            order = np.lexsort((at, size))
+            at, size = at[order], size[order]
+            for n in np.unique(size):
+                _, need, e = self.rule(int(n))
+                p = at[np.searchsorted(size, n, "left") : np.searchsorted(size, n, "right")]
+                if len(p) < need:
+                    continue
+                a, z = p[: len(p) - need + 1], p[need - 1 :]
+                # a place of n + e words at most that holds all of a..z starts no earlier than ``from_`` and no later than a
+                from_ = np.maximum(z - (n + e - k), first[row[a]])
+                ok = (row[a] == row[z]) & (from_ <= a)
+                a, from_ = a[ok], from_[ok]
+                if len(a):
+                    from_[1:] = np.maximum(from_[1:], np.minimum(a[:-1] + 1, a[1:] + 1))  # a rises: no start twice
+                    many = np.maximum(a - from_ + 1, 0)
+                    start = np.repeat(from_ - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    out.append((row[start], start, np.full(len(start), n)))
+        if not out:
             return (np.zeros(0, np.int64),) * 3
-        r, i, d = (np.concatenate(x) for x in zip(*parts))
-        # hits of one text and item, by diagonal; enough of them within the reach of e edits
-        big = np.int64(len(h) + (1 << 20))
-        key = (r * np.int64(len(self.ids)) + i) * (4 * big) + (d + big)
-        order = np.argsort(key, kind="stable")
-        key, r, i, d = key[order], r[order], i[order], d[order]
-        near = np.searchsorted(key, key + 2 * self.edits[i], "right") - np.arange(len(key))
-        ok = np.flatnonzero(near >= self.need[i])
-        # every diagonal of a qualifying run is a place where the item may start
-        end = np.searchsorted(key, key[ok] + 2 * self.edits[i[ok]], "right")
-        mark = np.zeros(len(key) + 1, np.int64)
-        np.add.at(mark, ok, 1), np.add.at(mark, end, -1)
-        use = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        if len(use):
-            use = use[np.concatenate([[True], key[use][1:] != key[use][:-1]])]
-        r, i, d = r[use], i[use], d[use]
-        lo, hi = first[r], first[r + 1]
-        keep = hi > lo
-        return r[keep], i[keep], np.clip(d, lo, hi - 1)[keep]
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, start word), sorted and distinct: windows and items with an equal key in one of the tables."""
+        r, start, size = self.windows(h, first)
+        found = []
+        for p in range(0, len(r), 8192):
+            key = self.keys(h, start[p : p + 8192], size[p : p + 8192], first[r[p : p + 8192] + 1]).ravel()
+            lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+            many = hi - lo
+            w = p + np.repeat(np.arange(len(key)) // self.limits.tables, many)
+            item = self.of[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            found.append(np.unique((r[w] * len(self.words) + item) * len(h) + start[w]))
+        c = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return c // len(h) // len(self.words), c // len(h) % len(self.words), c % len(h)
 
     def find(self, col: pa.Array) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, edits, byte start, byte end) of the best match of each item in each text."""
-        h, s, e, first, _ = normal_words(col)
-        r, i, start = self.windows(h, first)
+        """(text, item, edits, start, end) of the best place of each item in each text; code points of the text, end exclusive."""
+        h, s, e, first, data, off = normal_words(col)
+        if not len(h) or not len(self.words):
+            return []
+        r, item, start = self.candidates(h, first)
+        most = np.floor(self.size[item] * self.limits.edits + 1e-9).astype(np.int64)
+        # a place is looked for up to ``most`` words around a candidate, which covers the candidates that follow it closely
+        keep, last = [], (-1, -1, 0)
+        for c in zip(r.tolist(), item.tolist(), start.tolist(), most.tolist()):
+            if c[:2] != last[:2] or c[2] - last[2] > c[3]:
+                keep.append(c)
+                last = c[:3]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for p in range(0, len(r), 4096):
-            rp, ip, sp = r[p : p + 4096], i[p : p + 4096], start[p : p + 4096]
-            size = np.minimum(self.size[ip], first[rp + 1] - sp)
-            hit = (self.embed(h, sp, size) == self.keys[ip]).any(axis=1)
-            for row, item, at in zip(rp[hit].tolist(), ip[hit].tolist(), sp[hit].tolist()):
-                most = int(self.edits[item])
-                found = best.get((row, item))
-                if found is not None and found[0] == 0:
-                    continue
-                n, used = edit_distance(self.words[item], h[at : min(at + int(self.size[item]) + most, int(first[row + 1]))], most)
-                if n <= most and used and (found is None or n < found[0]):
-                    best[row, item] = (n, int(s[at]), int(e[at + used - 1]))
-        return [(row, item, *b) for (row, item), b in sorted(best.items())]
+        by_size: dict[int, list] = {}
+        for c in keep:
+            by_size.setdefault(int(self.size[c[1]]), []).append(c)
+        for n, group in by_size.items():
+            step = max(1, min(512, (1 << 15) // n))
+            for p in range(0, len(group), step):
+                part = group[p : p + step]
+                text, it, at, most = (np.array(x) for x in zip(*part))
+                left = np.maximum(at - most, first[text])
+                place = left[:, None] + np.arange(n + 3 * int(most[0]))
+                inside = place < first[text + 1][:, None]
+                words = np.where(inside, h[np.minimum(place, len(h) - 1)], _END)
+                cost, a, z = best_places(np.stack([self.words[i] for i in it]), words, int(most[0]))
+                z = np.minimum(z, first[text + 1] - left)
+                for t, i, c, u, v in zip(text.tolist(), it.tolist(), cost.tolist(), (left + a).tolist(), (left + z).tolist()):
+                    if c <= most[0] and v > u and (c, u, v) < best.get((t, i), (1 << 30, 0, 0)):
+                        best[t, i] = (c, u, v)
+        lead = (data & 0xC0) != 0x80
+        out = []
+        for (t, i), (c, u, v) in sorted(best.items()):
+            lo = int(lead[off[t] : s[u]].sum())
+            out.append((t, i, c, lo, lo + int(lead[s[u] : e[v - 1]].sum())))
+        return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -191,51 +251,56 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-def load_items(benchmark: DataFrame, limits: Limits = Limits()) -> list[Items]:
-    """The benchmark in blocks of at most ITEM_BYTES of text, read one block at a time."""
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+def item_blocks(benchmark: DataFrame, limits: Limits = Limits()) -> Iterator[Items]:
+    """The benchmark in blocks of at most ITEM_BYTES of text; a block is read when the one before it has been used."""
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // ITEM_BYTES))
-    out = []
     for k in range(blocks):
-        rows = sorted((r["item_id"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
+        rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
         if rows:
-            out.append(Items([r[0] for r in rows], pa.array([r[1] for r in rows]), limits))
-    return out
+            yield Items([None if r[0] else r[1] for r in rows], pa.array([r[2] for r in rows]), limits)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(doc_id, item_id, edits, item_words, start, end): the best place of each benchmark item in each document.
 
-    A match has at most ``limits.edits`` of the item's words edited, in words without case and marks.
-    Positions are code points of the text, end exclusive. Null and empty texts, and items without
-    words, match nothing; repeated rows repeat their matches; null ids are kept; other columns are ignored.
+    A match has at most ``limits.edits`` of the item's words edited, in words without case and marks. Best: fewest
+    edits, then the smallest start, then the smallest end. Positions are code points of the text, end exclusive. Null and empty
+    texts, and items without words, match nothing; repeated rows repeat their matches, also rows of the benchmark; null
+    ids of documents and items are kept; other columns are ignored. Each block of the benchmark is a pass over the documents, written
+    before the next block is read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits int, item_words int, start long, end long"
     out = None
-    for items in load_items(benchmark, limits):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for items in item_blocks(benchmark, limits):
+        shared = spark.sparkContext.broadcast(items)
 
         def fn(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            it, got = shared.value, []
-            for row, item, n, lo, hi in it.find(b.column(1)):
-                raw = b.column(1)[row].as_py().encode()
-                at = len(raw[:lo].decode())
-                got.append((b.column(0)[row].as_py(), int(it.ids[item]), n, int(it.size[item]), at, at + len(raw[lo:hi].decode())))
+            it = shared.value
+            got = [(b.column(0)[t].as_py(), it.ids[i], n, int(it.size[i]), lo, hi) for t, i, n, lo, hi in it.find(b.column(1))]
             cols = list(zip(*got)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "edits", "item_words", "start", "end"])
 
-        part = map_batches(rows, fn, schema)
+        part = materialize(map_batches(rows, fn, schema), "matches")
+        shared.destroy()
         out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows whose text holds no benchmark item, with all their columns. Works in place, without a shuffle."""
+    """The rows whose text holds no benchmark item, with all their columns.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; null ids make no difference; items without
+    words match nothing, and an empty benchmark keeps every row. Works in place, without a shuffle.
+    """
     at = docs.columns.index("text")
-    for items in load_items(benchmark, limits):
+    for k, items in enumerate(item_blocks(benchmark, limits)):
+        if k:
+            docs = materialize(docs, "clean")
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def fn(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
