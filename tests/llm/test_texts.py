@@ -134,12 +134,53 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_sketch_comparison_finds_links_between_components():
+def test_groups_join_as_all_pairs_would():
+    """Components of a group against brute force, whole and cut into chunks; groups with many and with few likely partners."""
     g = np.random.default_rng(5)
-    base = np.unique(g.integers(0, 1 << 32, 200, dtype=np.uint64)).astype(np.uint32)
-    sk = [base, base[5:], base[3:], np.unique(g.integers(0, 1 << 32, 200, dtype=np.uint64)).astype(np.uint32)]
-    out = near_dedup._compare(sk, np.array([len(x) for x in sk]), np.array([1, 1, 2, 3]), np.zeros(4, int), 0.8, 4)
-    assert {(r, o) for r, o, _ in out} == {(2, 0), (2, 1)}
+    for m, keep in ((6, 0.97), (60, 0.93), (90, 0.9)):
+        base = [np.unique(g.integers(0, 1 << 62, 150, dtype=np.uint64)) for _ in range(3)]
+        sets = [np.unique(np.where(g.random(len(base[i % 3])) < keep, base[i % 3], g.integers(0, 1 << 62, len(base[i % 3]), dtype=np.uint64))) for i in range(m)]
+        n, reg = np.array([len(x) for x in sets]), np.stack([near_dedup.registers(x) for x in sets])
+        linked = [(i, j) for i in range(m) for j in range(i) if 5 * K.overlap(sets[i], sets[j]) >= 4 * (n[i] + n[j] - K.overlap(sets[i], sets[j]))]
+
+        def groups(pairs):
+            c = list(range(m))
+            for a, b in pairs:
+                c = [c[a] if x == c[b] else x for x in c]
+            return {frozenset(i for i in range(m) if c[i] == x) for x in c}
+
+        whole = near_dedup.join_group(np.arange(m), n, reg, sets, np.zeros(m, int), 80)
+        assert groups(whole) == groups(linked) and len(whole) < m
+        chunk, cut = g.integers(0, 3, m), []
+        for i in range(3):
+            for j in range(i, 3):
+                rows = np.flatnonzero((chunk == i) | (chunk == j))
+                if len(rows):
+                    cut += [(rows[a], rows[b]) for a, b in near_dedup.join_group(rows, n[rows], reg[rows], [sets[r] for r in rows], chunk[rows], 80)]
+        assert groups(cut) == groups(linked)
+
+
+def test_groups_stay_whole_across_batches():
+    import weftgraph.llm.common as C
+
+    class Rows:  # stands for a DataFrame: what map_groups asks of it
+        def __init__(self, sizes):
+            key = np.repeat(np.arange(40), np.arange(40) % 7)
+            cut = np.append(0, np.cumsum(sizes))
+            self.batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b])], ["key"]) for a, b in zip(cut, cut[1:])]
+
+        sparkSession = property(lambda self: None)
+        repartition = sortWithinPartitions = lambda self, *k: self
+        mapInArrow = lambda self, run, schema: list(run(iter(self.batches)))
+
+    C_ship, C.ship_package = C.ship_package, lambda s: None
+    try:
+        for step in (1, 2, 5, 9, 200):
+            seen = C.map_groups(Rows([step] * (200 // step)), ["key"], lambda t: t.column("key").to_pylist(), "")
+            keys = [set(x) for x in seen]
+            assert sum(len(k) for k in keys) == len(set().union(*keys)) and sorted(x for s in seen for x in s) == [k for k in range(40) for _ in range(k % 7)]
+    finally:
+        C.ship_package = C_ship
 
 
 PLAIN = [

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
-from weftgraph.llm.common import map_batches
+from weftgraph.llm.common import bitmap, group_starts, map_batches, map_groups, marked
 from weftgraph.operators.components import star_components
-from weftgraph.runtime import materialize, ship_package
+from weftgraph.runtime import materialize
 
 BUCKETS, MANTISSA, BAND = 128, 10, 4
 _BITS = 57  # of a hash below its 7 bucket bits
-#: Members of a bucket that one task compares; larger mixed buckets are compared chunk against chunk.
-CHUNK = 1000
-#: Hashes of a sketch, and links a member names to each other component in the first round.
-SKETCH, FIRST_LINKS = 256, 4
+#: Shingles of a bucket that one task holds, twice at most; larger mixed buckets are compared chunk against chunk.
+CHUNK = 1 << 21
+#: A member with more likely partners than this counts its common shingles with all of them through one sorted list.
+FEW = 16
 
 
 def _probes() -> np.ndarray:
@@ -125,16 +124,18 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set) for the given ids; the set is its sorted 64-bit shingle hashes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    """(id, set) for the given ids; the set is its sorted 64-bit shingle hashes. Texts of other ids are not shuffled."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").withColumn("h", F.xxhash64("id"))
+    bits = bitmap(ids.select(F.xxhash64("id").alias("h")))
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        b = b.filter(pa.array(marked(bits.value, b.column(2).to_numpy(zero_copy_only=False))))
         data, off = K.text_bytes(b.column(1))
         h, _, _, first = K.words(data, off)
         s = [K.shingle_set(h[first[i] : first[i + 1]], k).tobytes() for i in range(b.num_rows)]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["id", "set"])
 
-    return map_batches(rows, fn, "id long, set binary")
+    return map_batches(rows, fn, "id long, set binary").join(ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,74 +153,78 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, fn, "a long, b long").distinct()
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """(id, sketch): the SKETCH smallest 32-bit hashes of the set; the whole set where it is no larger."""
+def join_group(comp: np.ndarray, n: np.ndarray, reg: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(row, row) of links that join the components of a group: all of a spanning forest's, whatever their number.
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = [np.sort((K.mix64(np.frombuffer(x.as_buffer(), np.uint64)) >> K.U64(32)).astype(np.uint32))[:SKETCH].tobytes() for x in b.column(1)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "sketch"])
-
-    return map_batches(sets, fn, "id long, sketch binary")
-
-
-def _compare(sk: list[np.ndarray], n: np.ndarray, comp: np.ndarray, chunk: np.ndarray, t: float, most: int) -> list[tuple[int, int, bool]]:
-    """(row, other row, cut): likely links out of all but the largest component, the ``most`` best of a row to each component.
-
-    ``cut`` tells that a row had more. Common hashes are counted through a sorted list of all hashes.
+    Each pair of rows of different components whose sizes and registers allow the similarity is decided on
+    the full sets, the likeliest first. Components merge on the way, which spares the pairs inside. Of two chunks only
+    pairs across are looked at.
     """
-    size = np.array([len(x) for x in sk])
-    flat, owner = np.concatenate(sk), np.repeat(np.arange(len(sk)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    whole = n <= SKETCH
-    top = np.array([np.uint32(0xFFFFFFFF) if w else x[-1] for x, w in zip(sk, whole)])
-    names, count = np.unique(comp, return_counts=True)
+    comp = np.unique(comp, return_inverse=True)[1]
+    large = comp == np.bincount(comp).argmax()
+    across = chunk.min() < chunk.max()
+    place = np.arange(len(comp))
+    flat = None
     out = []
-    for r in np.flatnonzero(comp != names[count.argmax()]):
-        lo, hi = np.searchsorted(flat, sk[r], "left"), np.searchsorted(flat, sk[r], "right")
-        k = hi - lo
-        hits = owner[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-        same = np.bincount(hits, minlength=len(sk))
-        other = comp != comp[r]
-        if chunk.min() != chunk.max():
-            other &= chunk != chunk[r]
-        o = np.flatnonzero(other & (same > 0) & (100 * np.minimum(n, n[r]) >= 100 * t * np.maximum(n, n[r]) - 1e-6))
-        a, b = np.full(len(o), size[r]), size[o].copy()
-        for i in np.flatnonzero(~(whole[o] & whole[r])):
-            limit = min(top[r], top[o[i]])
-            a[i], b[i] = np.searchsorted(sk[r], limit, "right"), np.searchsorted(sk[o[i]], limit, "right")
-        used = np.maximum(a + b - same[o], 1)
-        est = same[o] / used
-        room = np.where(whole[o] & whole[r], 2e-3, 5 * np.sqrt(t * (1 - t) / used))
-        good = np.flatnonzero(est >= t - room)
-        good = good[np.lexsort((-est[good], comp[o[good]]))]
-        c = comp[o[good]]
-        rank = np.arange(len(c)) - np.searchsorted(c, c)
-        total = np.searchsorted(c, c, "right") - np.searchsorted(c, c)
-        out += [(int(r), int(o[g]), bool(w > most)) for g, w, x in zip(good, total, rank) if x < most]
+    for r in np.flatnonzero(~large):
+        o = (large | (place > r)) & (comp != comp[r]) & (np.minimum(n, n[r]) * 100 >= np.maximum(n, n[r]) * percent)
+        if across:
+            o &= chunk != chunk[r]
+        o = np.flatnonzero(o)
+        if not len(o):
+            continue
+        est, used = estimate(reg[r][None], reg[o], n[r], n[o])
+        good = _plausible(est, used, percent / 100)
+        o, est = o[good], est[good]
+        o = o[np.argsort(-est, kind="stable")]
+        both = None
+        if len(o) > FEW:
+            if flat is None:
+                size = np.array([len(x) for x in sets])
+                flat = np.concatenate(sets)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], np.repeat(place, size)[order]
+            lo, hi = np.searchsorted(flat, sets[r], "left"), np.searchsorted(flat, sets[r], "right")
+            k = hi - lo
+            both = np.bincount(owner[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())], minlength=len(comp))
+            o = o[100 * both[o] >= percent * (n[r] + n[o] - both[o])]
+        for i in o.tolist():
+            if comp[i] == comp[r]:
+                continue
+            if both is None:
+                c = K.overlap(sets[r], sets[i])
+                if 100 * c < percent * (n[r] + n[i] - c):
+                    continue
+            out.append((int(r), i))
+            comp[comp == comp[i]] = comp[r]
     return out
 
 
-def _mixed_pairs(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, cut): likely links between different components within a bucket.
+def _joined(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that links within a bucket join.
 
-    ``members(key, id, comp, n, sketch, size)`` of buckets that hold several components. Buckets beyond
-    CHUNK members are cut into chunks and compared chunk by chunk, so a task holds two chunks at most.
-    A row names the ``most`` likeliest links to each other component, for one that holds joins the two.
+    ``members(key, id, comp, n, reg, set, mass)`` of buckets that hold several components; ``mass``: shingles of the bucket.
+    Buckets beyond CHUNK are cut into chunks, and a task holds two of them. No pair is listed: a group
+    returns fewer rows than it has components.
     """
-    ship_package(members.sparkSession)
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("mass") / CHUNK).cast("int")
     m = members.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    m = m.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "comp", "n", "sketch")
+    m = m.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "comp", "n", "reg", "set")
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        got = _compare([np.frombuffer(x, np.uint32) for x in pdf["sketch"]], pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["c"].to_numpy(), percent / 100, most)
-        r, o = np.array([g[0] for g in got], int), np.array([g[1] for g in got], int)
-        return pd.DataFrame({"a": np.minimum(ids[r], ids[o]), "b": np.maximum(ids[r], ids[o]), "cut": np.array([g[2] for g in got], bool)})
+    def fn(t: pa.Table) -> pa.RecordBatch:
+        comp, n, c = (t.column(x).to_numpy() for x in ("comp", "n", "c"))
+        reg = np.frombuffer(b"".join(t.column("reg").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        first = group_starts(t, ["key", "i", "j"])
+        a, b = [], []
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            if comp[lo:hi].min() < comp[lo:hi].max():
+                for p, q in join_group(comp[lo:hi], n[lo:hi], reg[lo:hi], sets[lo:hi], c[lo:hi], percent):
+                    a.append(min(comp[lo + p], comp[lo + q])), b.append(max(comp[lo + p], comp[lo + q]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return m.groupBy("key", "i", "j").applyInPandas(fn, "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
+    return map_groups(m, ["key", "i", "j"], fn, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -231,9 +236,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     A null id gets a null component and is kept. Repeated rows get equal results.
 
     Equal sets collapse to their smallest id first. Band buckets then link each member to the
-    bucket's smallest id; links that hold on the full sets form components. Only members of different
-    components are compared further within their bucket, so that no pair inside a
-    settled group is ever listed, and no link that would join two components is missed.
+    bucket's smallest id; links that hold on the full sets form components. Of buckets that still hold several
+    components, all pairs of members of different components are looked at within a task (see ``join_group``), so no link of a
+    bucket that would join two components is missed, and no pairs are listed.
     """
     sig = materialize(signatures(docs, k), "sig")
     live = sig.where("n > 0 and doc_id is not null")
@@ -250,23 +255,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = materialize(_verified(likely, sets, percent), "links")
     comp = star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # members of one bucket that are still apart, until no link is left that could join two components
-    sketches = materialize(_sketches(sets), "sketches")
-    most = FIRST_LINKS
-    while True:
-        placed = shared.where("size > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        members = placed.join(mixed, "key").select("key", "id", "comp", "size").join(reps.select("id", "n"), "id").join(sketches, "id")
-        rest = materialize(_mixed_pairs(members, percent, most), "rest")
-        more = materialize(_verified(rest.select("a", "b").join(likely, ["a", "b"], "left_anti"), sets, percent), "more")
-        found = not more.isEmpty()
-        if found:
-            links = links.union(more)
-            comp = star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if rest.where("cut").isEmpty():
-            break  # every likely link between the components was named, and verified
-        if not found:
-            most *= 16
+    # members of one bucket that are still apart: every likely pair of different components is decided once and for all
+    comp = materialize(comp, "hub-components")
+    placed = shared.where("size > 2").join(reps.select("id", "n", "reg"), "id").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("mass")).where("lo < hi").select("key", "mass")
+    members = placed.join(mixed, "key").select("key", "id", "comp", "n", "reg", "mass").join(sets, "id")
+    wide = star_components(_joined(members, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("component"), F.col("component").alias("wide"))
+    # a component of one document has no row in comp yet
+    alone = wide.join(comp.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), "component")
+    comp = materialize(comp.union(alone).join(wide, "component", "left").select("id", F.coalesce("wide", "component").alias("component")), "components")
     named = reps.select("d1", "d2", "id").join(comp, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     found = live.join(named, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = sig.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.llm import kernels as K
-from weftgraph.llm.common import map_batches
+from weftgraph.llm.common import bitmap, group_starts, map_batches, map_groups, marked
 from weftgraph.operators.components import star_components
 from weftgraph.runtime import materialize
 
@@ -21,8 +20,6 @@ from weftgraph.runtime import materialize
 REACH = 6
 #: Words after which a paragraph without a cut ends.
 LONGEST = 64
-#: Size of the bit map that screens rows before an exact join, as a power of two: 2^27 bits are 16 MB.
-MAP_BITS = 27
 #: Paragraphs of one group that a chunk holds; a task compares two chunks at a time.
 CHUNK = 1000
 #: Groups of up to so many paragraphs are compared together, pair by pair.
@@ -124,27 +121,6 @@ def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool =
     return map_batches(docs, fn, schema)
 
 
-def bitmap(ids: DataFrame) -> Broadcast:
-    """A bit for each hash in ids(h), at its low bits: at most 2^MAP_BITS bits, whatever the number of hashes.
-
-    The words are joined in Spark; what reaches the driver, and each task, has that bound. Beyond
-    some 2^25 hashes the map fills up and screens less; the exact join behind it decides in any case.
-    """
-    n = ids.count()
-    size = min(MAP_BITS, max(16, int(n * 32).bit_length()))
-    low = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
-    words = ids.select(F.shiftright(low, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(1 << (size - 6), np.int64)
-    got = words.toPandas()
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    return ids.sparkSession.sparkContext.broadcast(out.view(np.uint64))
-
-
-def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    low = h.view(np.uint64) & K.U64(len(bits) * 64 - 1)
-    return (bits[(low >> K.U64(6)).astype(np.int64)] >> (low & K.U64(63))) & K.U64(1) > 0
-
-
 def screened(df: DataFrame, column: str, bits: Broadcast) -> DataFrame:
     """Rows whose hash the map marks: all that an exact join would keep, and few others, without a shuffle."""
     at = df.columns.index(column)
@@ -226,45 +202,23 @@ def _large_group(comp: np.ndarray, chunk: np.ndarray, flat: np.ndarray, size: np
     return out
 
 
-def _joining(it: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Linked components (a, b) from rows (token, i, j, c, comp, set) sorted by group (token, i, j)."""
-
-    def links(t: pa.Table) -> pa.RecordBatch:
-        token, i, j, c, comp = (t.column(n).to_numpy() for n in ("token", "i", "j", "c", "comp"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
-        new = np.flatnonzero((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        first = np.concatenate([[0], new, [len(token)]])
-        count = np.diff(first)
-        size = np.array([len(x) for x in sets], np.int64)
-        pairs = []
-        for lo, hi in zip(first[:-1][count > SMALL], first[1:][count > SMALL]):
-            pairs += [(lo + p, lo + q) for p, q in _large_group(comp[lo:hi], c[lo:hi], np.concatenate(sets[lo:hi]), size[lo:hi], similarity)]
-        rows = np.flatnonzero(np.repeat((count > 1) & (count <= SMALL), count))
-        if len(rows):
-            cut = np.append(0, np.cumsum(count[(count > 1) & (count <= SMALL)]))
-            got = _small_groups(cut, comp[rows], c[rows], np.concatenate([sets[r] for r in rows]), size[rows], similarity)
-            pairs += [(rows[p], rows[q]) for p, q in got]
-        a, b = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(comp[a], comp[b])), pa.array(np.maximum(comp[a], comp[b]))], ["a", "b"])
-
-    rest: pa.Table | None = None
-    for batch in it:
-        t = pa.Table.from_batches([batch])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        if not t.num_rows:
-            continue
-        # the last group may go on in the next batch
-        same = np.ones(t.num_rows, bool)
-        for n in ("token", "i", "j"):
-            x = t.column(n).to_numpy()
-            same &= x == x[-1]
-        done = t.num_rows - int(same.sum())
-        if done:
-            yield links(t.slice(0, done))
-        rest = t.slice(done)
-    if rest is not None and rest.num_rows:
-        yield links(rest)
+def _links(t: pa.Table, similarity: float) -> pa.RecordBatch:
+    """Linked components (a, b) from rows (token, i, j, c, comp, set) of whole groups (token, i, j)."""
+    c, comp = (t.column(n).to_numpy() for n in ("c", "comp"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+    first = group_starts(t, ["token", "i", "j"])
+    count = np.diff(first)
+    size = np.array([len(x) for x in sets], np.int64)
+    pairs = []
+    for lo, hi in zip(first[:-1][count > SMALL], first[1:][count > SMALL]):
+        pairs += [(lo + p, lo + q) for p, q in _large_group(comp[lo:hi], c[lo:hi], np.concatenate(sets[lo:hi]), size[lo:hi], similarity)]
+    rows = np.flatnonzero(np.repeat((count > 1) & (count <= SMALL), count))
+    if len(rows):
+        cut = np.append(0, np.cumsum(count[(count > 1) & (count <= SMALL)]))
+        got = _small_groups(cut, comp[rows], c[rows], np.concatenate([sets[r] for r in rows]), size[rows], similarity)
+        pairs += [(rows[p], rows[q]) for p, q in got]
+    a, b = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(comp[a], comp[b])), pa.array(np.maximum(comp[a], comp[b]))], ["a", "b"])
 
 
 def _common(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -307,8 +261,7 @@ def _still_apart(pairs: DataFrame, comp: DataFrame, sets: DataFrame, similarity:
     m = tokens.join(groups, "token").withColumn("c", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(members.select("digest", "set"), "digest")
     m = m.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "comp", "set")
-    m = m.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return m.mapInArrow(lambda it: _joining(it, similarity), "a long, b long").distinct()
+    return map_groups(m, ["token", "i", "j"], lambda t: _links(t, similarity), "a long, b long").distinct()
 
 
 def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.99, most_bands: int = 3, least_words: int = 20) -> DataFrame:
