@@ -1,6 +1,7 @@
 """Classifiers: exact inference against enumeration, accuracy on the held-out fold, and odd inputs."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,13 @@ def test_quality_accuracy_and_fold(spark, docs, labels):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
+def test_quality_on_the_held_out_fold(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score_quality(docs, labels).where("held_out").join(labels.where("quality in (0, 1)"), "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+
+
 @pytest.mark.parametrize("run", [quality.score_quality, toxicity.score_toxicity, lambda d, lab: language_id.identify(d)])
 def test_odd_inputs(odd, none, labels, run):
     out = run(odd, labels).collect()
@@ -53,16 +61,62 @@ def test_odd_inputs(odd, none, labels, run):
 
 
 def test_block_max_search_is_exact():
+    """Rare and common terms, several queries at once, and an example that a query passes over."""
     g = np.random.default_rng(2)
-    x = g.random((300, 12)) * (g.random((300, 12)) < 0.3)
+    x = g.random((300, 40)) * (g.random((300, 40)) < np.where(np.arange(40) < 12, 0.3, 0.01))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    index = toxicity.BlockMaxIndex(x, np.zeros(300), np.arange(300))
-    for _ in range(20):
-        t = np.sort(g.choice(12, 4, replace=False))
-        w = g.random(4)
-        _, got = index.nearest(t, w, 10)
-        want = np.sort(index.x[:, t] @ w)[::-1][:10]
-        assert np.allclose(got, want[want > 0])
+    r, t = np.nonzero(x)
+    index = toxicity.BlockMaxIndex(r, t, x[r, t], 300, 40)
+    assert 0 < len(index.common) < 40
+    q = g.random((20, 40)) * (g.random((20, 40)) < 0.2)
+    q[3] = 0
+    qr, qt = np.nonzero(q)
+    for skip in (None, np.arange(20)):
+        pos, got = index.nearest(qr, qt, q[qr, qt], 20, 10, skip)
+        s = q @ x.T
+        if skip is not None:
+            s[np.arange(20), skip] = 0
+        want = np.sort(s, axis=1)[:, ::-1][:, :10]
+        assert np.allclose(got, want, atol=1e-5)
+        assert all(np.allclose(s[k][p[p >= 0]], got[k][p >= 0], atol=1e-5) for k, p in enumerate(pos))
+
+
+def test_whole_model_equals_plain_cosine(spark):
+    """Scores of the operator against dense TF-IDF vectors over all words, document counts over all rows."""
+    g = np.random.default_rng(7)
+    words = [f"{a}{b}x" for a in "abcdefgh" for b in "ijklmnop"]  # three letters: a word is its only term
+    rows = [(i, " ".join(g.choice(words, int(g.integers(1, 30))))) for i in range(90)] + [(90, None), (91, "zzz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 90, 2)], "doc_id long, toxic int")
+    model = toxicity.train(df, lab)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, model=model).collect()}
+    train = [i for i in range(0, 90, 2) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = {w: sum(w in (t or "").split() for _, t in rows) for w in words}
+
+    def vector(text):
+        v = np.array([(text or "").split().count(w) for w in words], float)
+        v[v > 0] = (1 + np.log(v[v > 0])) * np.array([np.log(93 / (1 + held[w])) + 1 for w in words])[v > 0]
+        return v / max(np.linalg.norm(v), 1e-30)
+
+    x = np.array([vector(rows[i][1]) for i in train])
+    y = np.array([float(i % 3 == 0) for i in train])
+    for i, text in rows[:90]:
+        s = x @ vector(text)
+        top = np.lexsort((np.arange(len(s)), -s))[: toxicity.NEIGHBOURS]
+        top = top[s[top] > 0]
+        if len(top) == toxicity.NEIGHBOURS and abs(s[top[-1]] - np.sort(s)[-16]) < 1e-6:
+            continue  # a tie for the last place
+        vote = (s[top] ** 2 * y[top]).sum() / (s[top] ** 2).sum()
+        assert np.isclose(got[i]["score"], np.interp(vote, model.grid, model.value), atol=1e-4)
+    assert got[90]["score"] == got[91]["score"] == model.none and got[90]["evidence"] == []
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score_toxicity(docs, labels).where("held_out").join(labels.where("toxic in (0, 1)"), "doc_id").collect()
+    hit = [r["predicted"] for r in rows if r["toxic"]]
+    assert len(rows) > 80 and sum(hit) >= 0.7 * len(hit) and sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.03 * len(rows)
 
 
 def test_toxicity_finds_labelled_words(spark, labels):

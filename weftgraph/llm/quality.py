@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_lines:
     """Fit on about ``per_class`` labelled documents of each class from outside the held-out fold.
 
     Both bounds are parameters: the number of documents, and the lines that one document lends
-    (its first, middle and last thirds of ``max_lines`` when it has more). Lines take their document's label.
+    (when it has more, three runs of neighbouring lines: a third of ``max_lines`` from its start, middle and end, each a
+    chain of its own). Lines take their document's label.
     """
     chosen = bounded_sample(labelled_ids(labels, "quality", modulus, held), "y", "doc_id", per_class)
     texts = sampled_texts(docs, chosen).select("doc_id", "y", "text")
@@ -211,11 +212,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_lines:
         data, off = K.text_bytes(b.column(2))
         x, _, first = features(data, off)
         out = []
+        ids, y = [], []
         for k in range(b.num_rows):
-            n = first[k + 1] - first[k]
-            rows = np.arange(n) if n <= max_lines else np.unique(np.linspace(0, n - 1, max_lines).astype(int))
-            out.append(x[first[k] + rows].astype(np.float16).tobytes())
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
+            n, third = int(first[k + 1] - first[k]), max(1, max_lines // 3)
+            runs = [(0, n)] if n <= max_lines else [(0, third), ((n - third) // 2, (n + third) // 2), (n - third, n)]
+            for lo, hi in runs:
+                ids.append(b.column(0)[k]), y.append(b.column(1)[k])
+                out.append(x[first[k] + lo : first[k] + hi].astype(np.float16).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
     got = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in map_batches(texts, fn, "doc_id long, y int, x binary").collect())
     xs = [np.frombuffer(r[2], np.float16).reshape(-1, N_FEATURES).astype(np.float64) for r in got]
@@ -245,7 +249,11 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, model: Quali
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, model: QualityModel | None = None, threshold: float = 0.3, **fit_args) -> DataFrame:
-    """The rows whose text scores at least ``threshold``, with all their columns."""
+    """The rows whose text scores at least ``threshold``, with all their columns.
+
+    A null text counts as empty, and an empty one has the score of one empty line. Null ids are kept, repeated rows stay or go
+    together, and without any labels every row stays.
+    """
     model = model or train(docs, labels, **fit_args)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

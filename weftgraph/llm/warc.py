@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import pieces
 from weftgraph.runtime import fresh_path, materialize, ship_package
 
 CHUNK = 1 << 18
@@ -130,7 +131,9 @@ def decide(pages: DataFrame, least: int = 100) -> DataFrame:
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("n", F.octet_length("html").cast("long"))
     groups = p.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k"))
     groups = groups.where("k > 1 and first is not null").select(F.col("digest").alias("group_digest"), "first")
-    out = p.join(groups, (F.col("digest") == F.col("group_digest")) & (F.col("n") >= least), "left")
+    # short pages match nothing: a key of their own keeps a very common one from meeting in a task
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"), F.col("digest"))
+    out = p.withColumn("__key", F.when(F.col("n") >= least, F.col("digest")).otherwise(own)).join(groups, F.col("__key") == F.col("group_digest"), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -147,19 +150,18 @@ def write_archives(pages: DataFrame, folder: str, raw_size: int = 32 << 20) -> D
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(folder)
         out, done = None, []
-        for b in it:
-            for r in b.to_pylist():
-                if out is None:
-                    name, raw, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out, z = system.open_output_stream(f"{path}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = response_or_revisit(r["page_id"], r["url"], r["html"], r["digest"], r["kind"], r["refers_to"])
-                out.write(z.compress(data))
-                raw, n = raw + len(data), n + 1
-                if raw >= raw_size:
-                    out.write(z.flush())
-                    out.close()
-                    out = None
-                    done.append((name, n))
+        for r in (r for b in it for part in pieces(b) for r in part.to_pylist()):
+            if out is None:
+                name, raw, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                out, z = system.open_output_stream(f"{path}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
+            data = response_or_revisit(r["page_id"], r["url"], r["html"], r["digest"], r["kind"], r["refers_to"])
+            out.write(z.compress(data))
+            raw, n = raw + len(data), n + 1
+            if raw >= raw_size:
+                out.write(z.flush())
+                out.close()
+                out = None
+                done.append((name, n))
         if out is not None:
             out.write(z.flush())
             out.close()
