@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K_WORDS, BUCKETS, TUPLE = 3, 64, 2
-#: Symbols of a text: runs of up to 16 code points without white space, so unbroken text has k-mers too.
-SYMBOL = r"\S{1,16}"
+#: Code points that end a symbol of unbroken text: some letters and digits, and every other block of 32 beyond ASCII.
+ANCHORS = "aeiouAEIOU05" + "".join(f"\\u{b:04X}-\\u{b + 31:04X}" for b in [*range(0x80, 0xD800, 64), *range(0xE000, 0xFFC0, 64)])
+#: Symbols of a text: the white space before a word and the word. A run of more than 16 code points is cut behind
+#: anchors, else after 16, so an edit in unbroken text moves the cuts up to the next anchor only.
+SYMBOL = rf"\s*+(?:\S{{1,16}}+(?!\S)|\S{{1,15}}?[{ANCHORS}]|\S{{1,16}})|\s+"
 _POS = 1 << 24
 
 
@@ -16,9 +19,10 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K_WORDS, bu
     """Adds ``name``: four hex digits for each bucket of the order min-hash of ``text``.
 
     The k-mers of symbols are numbered by occurrence, hashed and dealt into buckets by the high
-    bits of the hash. A bucket selects its ``size`` smallest, puts them back in text order and hashes
-    that tuple. Shorter texts are a single k-mer, an empty bucket is ``----``, a text without symbols is
-    all empty. Equal texts have equal fingerprints. Each step is a column of its own: Spark then
+    bits of the hash. A bucket selects its ``size`` smallest, and the smallest of the buckets behind it where it has fewer
+    (behind the last comes the first), puts them back in text order and hashes that tuple. So every tuple keeps an order,
+    also in short texts. Shorter texts are a single k-mer, an empty bucket is ``----``, a text without symbols (white
+    space counts) is all empty. Texts have at most 16.7 million symbols; beyond that ``raise_error`` ends the query. Equal texts have equal fingerprints. Each step is a column of its own: Spark then
     evaluates it once.
     """
     if buckets & (buckets - 1):
@@ -29,6 +33,7 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K_WORDS, bu
     w, h, runs, g, cut = t
     word = lambda i, j: F.get(F.col(w), i + F.lit(j))
     df = df.withColumn(w, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SYMBOL), F.lit(0)))
+    df = df.withColumn(w, F.when(F.size(w) >= _POS, F.raise_error(F.lit("a text has too many symbols")).cast("array<string>")).otherwise(F.col(w)))
     # a 39-bit hash above a 24-bit position, never negative: one sort of plain longs groups equal k-mers in text order
     mers = F.transform(F.col(w), lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(word(i, j) for j in range(1, k))), 25), 24).bitwiseOR(i.cast("long")))
     df = df.withColumn(h, F.sort_array(F.slice(mers, F.lit(1), F.greatest(F.size(w) - F.lit(k - 1), F.lit(1)))))
@@ -49,7 +54,8 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K_WORDS, bu
     bucket = lambda x: F.shiftrightunsigned(x, shift)
     at = F.sequence(F.lit(0), F.size(g) - 1)
     heads = F.filter(at, lambda i: (i == 0) | (bucket(F.get(F.col(g), i)) != bucket(F.get(F.col(g), i - 1))))
-    picked = F.transform(heads, lambda i: F.filter(F.slice(F.col(g), i + 1, F.lit(size)), lambda x: bucket(x) == bucket(F.get(F.col(g), i))))
+    ring = F.concat(F.col(g), F.slice(F.col(g), F.lit(1), F.lit(size - 1)))
+    picked = F.transform(heads, lambda i: F.slice(F.when(i + size <= F.size(g), F.col(g)).otherwise(ring), i + 1, F.least(F.lit(size), F.size(g))))
     df = df.withColumn(cut, F.when(F.size(g) > 0, picked).otherwise(F.array().cast("array<array<bigint>>")))
 
     def digits(sel: Column) -> Column:
@@ -88,7 +94,8 @@ def with_next(docs: DataFrame, rows_per_block: int = 2000) -> DataFrame:
 
     Ids are cut into blocks at quantiles; each block is a window partition, and the first row of
     a block visits the block before it, so no task holds more than a block and each text is shuffled once.
-    Rows of equal id follow each other by text, descending; null ids come last.
+    Rows of equal id follow each other by text, descending; null ids come last, dealt over blocks by a hash of the text
+    and ordered by block. The rows of one id share a block, with their texts.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = d.select("doc_id").where("doc_id is not null")
@@ -101,25 +108,27 @@ def with_next(docs: DataFrame, rows_per_block: int = 2000) -> DataFrame:
         table = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
         above = F.size(F.filter(tops, lambda c: c > F.col("doc_id")))
         inside = F.size(F.filter(F.get(table, above - 1), lambda c: c > F.col("doc_id")))
-        block = F.when(F.col("doc_id").isNull(), len(cuts) + 1).when(above == 0, 0).otherwise((above - 1) * step + inside)
+        block = F.when(above == 0, 0).otherwise((above - 1) * step + inside)
     else:
-        block = F.when(F.col("doc_id").isNull(), 1).otherwise(0)
+        block = F.lit(0)
+    spare = min(4096, -(-d.where("doc_id is null").count() // rows_per_block))
+    if spare:
+        block = F.when(F.col("doc_id").isNull(), len(cuts) + 1 + F.pmod(F.xxhash64("text"), F.lit(spare))).otherwise(block)
     d = d.withColumn("block", block.cast("int"))
-    # the largest id of each block: one row per block, at most 4,098
-    heads = sorted((r["block"], r["head"]) for r in d.groupBy("block").agg(F.max("doc_id").alias("head")).collect())
-    if not heads:
-        heads = [(0, None)]
-    last = len(cuts) + 2
-    head_of, host_of = [None] * last, [0] * last
-    for (b, h), (p, _) in zip(heads, heads[-1:] + heads[:-1]):
-        head_of[b], host_of[b] = h, p
-    head = F.get(F.array(*[F.lit(x).cast("long") for x in head_of]), F.col("block"))
+    # the largest id of each block and its largest text hash: one row per block, at most 8,193
+    tag = F.xxhash64("text")
+    heads = sorted((r["block"], r["head"], r["tag"]) for r in d.groupBy("block").agg(F.max("doc_id").alias("head"), F.max(tag).alias("tag")).collect())
+    last = len(cuts) + 1 + spare
+    head_of, tag_of, host_of = [None] * last, [None] * last, [0] * last
+    for (b, h, g), (p, _, _) in zip(heads, heads[-1:] + heads[:-1]):
+        head_of[b], tag_of[b], host_of[b] = h, g, p
+    head, first_tag = (F.get(F.array(*[F.lit(x).cast("long") for x in v]), F.col("block")) for v in (head_of, tag_of))
     host = F.get(F.array(*[F.lit(x) for x in host_of]), F.col("block"))
     d = add_fingerprint(d, F.col("text"), "fingerprint")
-    visits = F.col("doc_id").eqNullSafe(head)
+    visits = F.col("doc_id").eqNullSafe(head) & (F.col("doc_id").isNotNull() | (tag == first_tag))
     own = F.struct(F.col("block").alias("b"), F.lit(False).alias("guest"))
     d = d.withColumn("place", F.explode(F.when(visits, F.array(own, F.struct(host.alias("b"), F.lit(True).alias("guest")))).otherwise(F.array(own))))
-    order = Window.partitionBy("b").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
+    order = Window.partitionBy("b").orderBy("guest", F.desc_nulls_last("doc_id"), F.when(F.col("doc_id").isNull(), tag).desc(), F.desc("text"))
     d = d.select("doc_id", "text", "fingerprint", F.col("place.b").alias("b"), F.col("place.guest").alias("guest"))
     d = d.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order))
     return d.where("not guest").drop("guest", "b")
@@ -130,7 +139,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text is the text with its last floor(n/2) code points replaced by the first as many
     (or all) of the next document, in descending doc_id. A null text counts as empty. A table of one row is its own next.
-    Rows without an id all share a block.
+    Of rows without an id and with unlike texts the order is fixed but arbitrary.
     """
     d = with_next(docs)
     n = F.length("text").cast("long")
