@@ -18,6 +18,8 @@ from weftgraph.runtime import materialize
 
 #: Words on either side that a cut must be smallest among: paragraphs have at least one word more.
 REACH = 6
+#: Unlinked paragraphs that a passage may run across: an edit spoils one, or two if it moves a cut.
+BRIDGE = 2
 #: Words after which a paragraph without a cut ends.
 LONGEST = 64
 #: Paragraphs of one group that a chunk holds; a task compares two chunks at a time.
@@ -68,7 +70,7 @@ def cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool = False, bits: Broadcast | None = None) -> DataFrame:
-    """(doc_id, no, start, end, words, digest, k0.. or set) of every paragraph; byte positions in the text.
+    """(doc_id, no, at, start, end, words, digest, k0.. or set) of every paragraph; ``at``: its first word, then byte positions in the text.
 
     ``digest`` stands for the paragraph's word sequence. ``bits``: map of the digests to keep.
     """
@@ -105,8 +107,8 @@ def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool =
         no = np.arange(len(start)) - np.searchsorted(owner, owner)
         ids = b.column(0).take(pa.array(owner))
         base = off[owner]
-        cols = [ids, pa.array(no.astype(np.int32)), pa.array(ws[start] - base), pa.array((we[end - 1] if len(end) else end) - base), pa.array(size.astype(np.int32)), pa.array(digest.view(np.int64))]
-        names = ["doc_id", "no", "start", "end", "words", "digest"]
+        cols = [ids, pa.array(no.astype(np.int32)), pa.array((start - first[owner]).astype(np.int32)), pa.array(ws[start] - base), pa.array((we[end - 1] if len(end) else end) - base), pa.array(size.astype(np.int32)), pa.array(digest.view(np.int64))]
+        names = ["doc_id", "no", "at", "start", "end", "words", "digest"]
         if with_set:
             keep = np.flatnonzero(marked(bits.value, digest)) if bits is not None else np.arange(len(start))
             cols = [c.take(pa.array(keep)) for c in cols]
@@ -117,7 +119,7 @@ def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool =
             names += [f"k{i}" for i in range(bands)]
         return pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id long, no int, start long, end long, words int, digest long, " + ("set binary" if with_set else ", ".join(f"k{i} long" for i in range(bands)))
+    schema = "doc_id long, no int, at int, start long, end long, words int, digest long, " + ("set binary" if with_set else ", ".join(f"k{i} long" for i in range(bands)))
     return map_batches(docs, fn, schema)
 
 
@@ -269,7 +271,8 @@ def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
 
     Paragraphs are linked if their distinct k-word shingles (all words, if fewer) have at least that
     Jaccard similarity; components of links are classes. Neighbouring paragraphs of classes found in
-    several documents form a passage, of ``least_words`` or more. ``class_id`` is its first paragraph's
+    several documents form a passage, of ``least_words`` or more. Up to BRIDGE paragraphs without such a class, an edited
+    place, belong to it if the classes on both sides follow each other within that reach in another document too. ``class_id`` is its first paragraph's
     class and ``n_docs`` the least number of documents that share one of its paragraphs. A passage is ``removed``
     unless each class in it first occurs here (smallest doc_id, then place). Positions are UTF-8 bytes, end exclusive.
 
@@ -321,14 +324,20 @@ def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     wide = named.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("class_id")
     shared = materialize(named.select("digest", "class_id").join(wide, "class_id"), "shared")
     bits = bitmap(shared.select(F.col("digest").alias("h")))
-    near = screened(all_p.select("doc_id", "no", "start", "end", "words", "digest"), "digest", bits)
+    near = screened(all_p.select("doc_id", "no", "at", "start", "end", "words", "digest"), "digest", bits)
     occurs = materialize(near.join(shared, "digest").drop("digest").distinct(), "occurs")
     bits.destroy()
     firsts = occurs.groupBy("class_id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count_distinct("doc_id").alias("n"))
     marked = occurs.join(firsts, "class_id").withColumn("here", (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.no") == F.col("no")))
+    # a repeated row of an id holds each place twice; one is enough
     order = Window.partitionBy("doc_id").orderBy("no", "class_id")
-    run = F.sum((F.coalesce(F.col("no") - F.lag("no").over(order), F.lit(9)) > 1).cast("int")).over(order)
-    spans = marked.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min_by("class_id", "no").alias("class_id"), F.min("n").alias("n_docs"), (~F.bool_and("here")).alias("removed")
-    )
+    steps = materialize(marked.select("doc_id", "no", "at", "start", "end", "words", "class_id", "n", "here").withColumn("next", F.lead("class_id").over(order)).withColumn("gap", F.lead("no").over(order) - F.col("no")), "steps")
+    bridges = steps.where(F.col("gap").between(1, 1 + BRIDGE)).groupBy("class_id", "next").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("gap").alias("widest"))
+    bridges = bridges.where("lo < hi and widest > 1").select("class_id", "next", F.lit(True).alias("bridged"))
+    steps = steps.join(bridges, ["class_id", "next"], "left").withColumn("open", (F.col("gap") > 1) & ~(F.col("gap").between(2, 1 + BRIDGE) & F.coalesce("bridged", F.lit(False))))
+    run = F.sum(F.coalesce(F.lag("open").over(order), F.lit(False)).cast("int")).over(order)
+    spans = steps.withColumn("run", run).groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("n_words"),
+        F.min_by("class_id", "no").alias("class_id"), F.min("n").alias("n_docs"), (~F.bool_and("here")).alias("removed"),
+    )
     return spans.where(F.col("n_words") >= least_words).select("doc_id", "start", "end", "n_words", "class_id", "n_docs", "removed")
