@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.graph import Graph
+from weftgraph.runtime import materialize
 
 
 def density(g: Graph) -> DataFrame:
@@ -95,3 +96,72 @@ def second_order_degree(g: Graph) -> DataFrame:
     d = out_degree(g)
     s = g.edges.join(d.select(F.col("id").alias("dst"), "degree"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("degree").alias("score"))
     return g.vertices.join(s, "id", "left").select("id", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+
+
+def predecessors(g: Graph) -> DataFrame:
+    """(id, predecessors): sorted sources of each vertex's incoming edges."""
+    return neighbors(Graph(g.vertices, transpose(g.edges), g.directed)).withColumnRenamed("neighbors", "predecessors")
+
+
+def non_empty_rows(g: Graph) -> DataFrame:
+    return g.vertices.join(g.edges.select(F.col("src").alias("id")), "id", "left_semi")
+
+
+def has_entry(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """(src, dst, present) for each of cells(src, dst)."""
+    have = edges.select("src", "dst", F.lit(True).alias("x")).distinct()
+    return cells.join(have, ["src", "dst"], "left").select("src", "dst", F.coalesce("x", F.lit(False)).alias("present"))
+
+
+def select_entry(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(src, row_rank, dst): the column of each of ranks(src, row_rank); null beyond the row."""
+    return ranks.join(rank_select(edges), ["src", "row_rank"], "left").select("src", "row_rank", "dst")
+
+
+def last_coordinates(edges: DataFrame) -> DataFrame:
+    """(src, dst) of the last entry in row-major order; nulls for an empty matrix."""
+    return edges.agg(F.max(F.struct("src", "dst")).alias("c")).select("c.src", "c.dst")
+
+
+def dense_extremes(g: Graph, missing: float = 0.0) -> DataFrame:
+    """(max_weight, min_weight) over all cells of the square, missing cells as ``missing``."""
+    n = g.vertices.agg(F.count("*").alias("n"))
+    e = g.edges.agg(F.max("weight").alias("hi"), F.min("weight").alias("lo"), F.count_distinct("src", "dst").alias("k"))
+    gap = F.when(F.col("k") < F.col("n") * F.col("n"), F.lit(float(missing)))
+    return e.crossJoin(n).select(F.greatest("hi", gap).alias("max_weight"), F.least("lo", gap).alias("min_weight"))
+
+
+def positions(rows: DataFrame, *keys: Column) -> DataFrame:
+    """rows + position, from 0, in the order of the keys, which must be a total order.
+
+    Ranks come from range partitions whose sizes are summed on the driver, one number a partition: no task sees all rows.
+    """
+    cols = rows.columns
+    ordered = materialize(rows.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "positions")
+    before, base = 0, []
+    for part, n in sorted((r["__part"], r["count"]) for r in ordered.groupBy("__part").count().collect()):
+        base.append((part, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(base or [(0, 0)], "__part int, __base long")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return ordered.join(F.broadcast(offsets), "__part").select(*cols, (rank + F.col("__base") - 1).cast("long").alias("position"))
+
+
+def degree_order(g: Graph, descending: bool = True) -> DataFrame:
+    """(id, degree, position): vertices by degree, ties by id."""
+    d = out_degree(g)
+    return positions(d, F.desc("degree") if descending else F.asc("degree"), F.asc("id"))
+
+
+def applied_order(g: Graph, order: DataFrame) -> Graph:
+    """The same graph with each id replaced by its position in order(id, position)."""
+    a, b = order.select(F.col("id").alias("src"), F.col("position").alias("s")), order.select(F.col("id").alias("dst"), F.col("position").alias("d"))
+    e = g.edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
+    return Graph(order.select(F.col("position").alias("id")), e, g.directed)
+
+
+def dot_lines(g: Graph) -> DataFrame:
+    """(line): the edges in DOT syntax, an undirected edge once; ``.write.text`` of it is the sink, between a head and a tail line."""
+    arrow = " -> " if g.directed else " -- "
+    e = g.edges if g.directed else g.edges.where("src <= dst")
+    return e.select(F.concat(F.lit("  "), F.col("src").cast("string"), F.lit(arrow), F.col("dst").cast("string"), F.lit(";")).alias("line"))

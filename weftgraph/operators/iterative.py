@@ -41,6 +41,21 @@ def reachable(g: Graph, sources: DataFrame) -> DataFrame:
     return hops(g, sources).where("src <> id").select("src", "id")
 
 
+def has_path(g: Graph, pairs: DataFrame) -> DataFrame:
+    """(src, id, has_path) for pairs(src, id): whether a walk of one edge or more leads there; a vertex reaches itself through a cycle only."""
+    walk = reachable(g, pairs.select("src").distinct()).withColumn("x", F.lit(True))
+    back = hops(Graph(g.vertices, g.edges, True), pairs.where("src = id").select("src").distinct())
+    loops = back.join(g.edges.select(F.col("src").alias("id"), F.col("dst").alias("src")), ["src", "id"], "left_semi").select("src", F.col("src").alias("id")).distinct().withColumn("x", F.lit(True))
+    return pairs.join(walk.union(loops), ["src", "id"], "left").select("src", "id", F.coalesce("x", F.lit(False)).alias("has_path"))
+
+
+def reachable_through(g: Graph, triples: DataFrame) -> DataFrame:
+    """(src, mid, id, through) for triples(src, mid, id): whether a walk leads from src over mid to id."""
+    first = has_path(g, triples.select("src", F.col("mid").alias("id")).distinct()).select("src", F.col("id").alias("mid"), F.col("has_path").alias("p"))
+    second = has_path(g, triples.select(F.col("mid").alias("src"), "id").distinct()).select(F.col("src").alias("mid"), "id", F.col("has_path").alias("q"))
+    return triples.join(first, ["src", "mid"]).join(second, ["mid", "id"]).select("src", "mid", "id", (F.col("p") & F.col("q")).alias("through"))
+
+
 def shortest_distances(g: Graph, sources: DataFrame) -> DataFrame:
     """(src, id, distance) over non-negative finite weights, by relaxing only what improved."""
     w = F.col("weight")

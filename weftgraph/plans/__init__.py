@@ -1,5 +1,6 @@
 """Registered queries over the test tables and the SQL that checks them."""
 
+from weftgraph.plans import structure_queries
 from weftgraph.plans.graph_queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "structure_queries"]

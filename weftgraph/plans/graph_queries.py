@@ -33,6 +33,7 @@ COPART = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey o, l_partkey p FROM
 e AS (SELECT a.p src, b.p dst, CAST(count(*) AS DOUBLE) weight FROM l a JOIN l b ON a.o = b.o AND a.p <> b.p GROUP BY 1, 2),
 v AS (SELECT p_partkey id FROM part), d AS (SELECT id, count(src) degree FROM v LEFT JOIN e ON src = id GROUP BY id)
 """
+COPART_ALL = COPART.replace(" WHERE l_returnflag = 'R' AND l_quantity >= 40", "")
 GEO = """WITH RECURSIVE e AS (SELECT CAST(0 AS BIGINT) src, CAST(r_regionkey + 1 AS BIGINT) dst FROM region
 UNION ALL SELECT n_regionkey + 1, n_nationkey + 100 FROM nation UNION ALL SELECT s_nationkey + 100, s_suppkey + 1000000 FROM supplier
 UNION ALL SELECT c_nationkey + 100, c_custkey + 1000000000 FROM customer), v AS (SELECT CAST(0 AS BIGINT) id UNION ALL SELECT dst FROM e)
@@ -48,14 +49,14 @@ COMMON = ", c AS (SELECT a.src src, b.src dst, count(*) common FROM e a JOIN e b
 
 
 # -- access -------------------------------------------------------------------------------------------------------------
-@query(COPART + "SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS entries, (SELECT count(*) FROM e) / CAST((SELECT count(*) FROM v) AS DOUBLE) / (SELECT count(*) FROM v) AS density")
+@query(COPART_ALL + "SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS entries, (SELECT count(*) FROM e) / CAST((SELECT count(*) FROM v) * (SELECT count(*) FROM v) AS DOUBLE) AS density")
 def density(spark, d):
-    return A.density(G.copurchase(spark, d))
+    return A.density(G.copurchase_all(spark, d))
 
 
-@query(COPART + "SELECT src AS id, list(dst ORDER BY dst) AS neighbors FROM e GROUP BY src")
+@query(COPART_ALL + "SELECT src AS id, list(dst ORDER BY dst) AS neighbors FROM e GROUP BY src")
 def neighbors(spark, d):
-    return A.neighbors(G.copurchase(spark, d))
+    return A.neighbors(G.copurchase_all(spark, d))
 
 
 @query(GEO + "SELECT id, count(src) AS degree FROM v LEFT JOIN e ON src = id GROUP BY id")
@@ -68,9 +69,9 @@ def in_degree(spark, d):
     return A.in_degree(G.geography(spark, d))
 
 
-@query(COPART + "SELECT id, degree FROM d")
+@query(COPART_ALL + "SELECT id, degree FROM d")
 def degree(spark, d):
-    return A.out_degree(G.copurchase(spark, d))
+    return A.out_degree(G.copurchase_all(spark, d))
 
 
 @query(COPART + "SELECT id FROM d WHERE degree = 0")
@@ -143,28 +144,28 @@ def vocabulary(spark, d):
     return dense_ids(G.table(spark, d, "customer").select(F.col("c_name").alias("symbol")))
 
 
-@query(COPART + "SELECT id, CAST(coalesce(s, 0) AS BIGINT) AS score FROM v LEFT JOIN (SELECT src, sum(degree) s FROM e JOIN d ON dst = id GROUP BY src) ON src = id")
+@query(COPART_ALL + "SELECT id, CAST(coalesce(s, 0) AS BIGINT) AS score FROM v LEFT JOIN (SELECT src, sum(degree) s FROM e JOIN d ON dst = id GROUP BY src) ON src = id")
 def second_order_degree(spark, d):
-    return A.second_order_degree(G.copurchase(spark, d))
+    return A.second_order_degree(G.copurchase_all(spark, d))
 
 
 # -- motifs and products --------------------------------------------------------------------------------------------------
-@query(COPART + """, t AS (SELECT a.src id, count(*) / 2 t FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst JOIN e c ON c.src = a.dst AND c.dst = b.dst GROUP BY 1)
+@query(COPART_ALL + """, t AS (SELECT a.src id, count(*) / 2 t FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst JOIN e c ON c.src = a.dst AND c.dst = b.dst GROUP BY 1)
 SELECT d.id AS id, degree, CAST(coalesce(t, 0) AS BIGINT) AS triangles, round(CASE WHEN degree < 2 THEN 0.0 ELSE 2.0 * coalesce(t, 0) / (degree * (degree - 1)) END, 9) AS lcc FROM d LEFT JOIN t ON d.id = t.id""")
 def triangles_copart(spark, d):
-    return M.triangle_count(G.copurchase(spark, d))
+    return M.triangle_count(G.copurchase_all(spark, d))
 
 
-@query(COPART + COMMON + "SELECT id, CAST(coalesce(s, 0) AS BIGINT) AS squares FROM v LEFT JOIN (SELECT src, sum(common * (common - 1) // 2) s FROM c GROUP BY src) ON src = id")
+@query(COPART_ALL + COMMON + "SELECT id, CAST(coalesce(s, 0) AS BIGINT) AS squares FROM v LEFT JOIN (SELECT src, sum(common * (common - 1) // 2) s FROM c GROUP BY src) ON src = id")
 def square_count(spark, d):
-    return M.square_count(G.copurchase(spark, d))
+    return M.square_count(G.copurchase_all(spark, d))
 
 
-@query(COPART + COMMON + """, p AS (SELECT a.src id, c.common - 1 sq, greatest(du.degree - 1 - (c.common - 1) - (x.src IS NOT NULL)::INT, 0) + greatest(dw.degree - 1 - (c.common - 1) - (x.src IS NOT NULL)::INT, 0) room
+@query(COPART_ALL + COMMON + """, p AS (SELECT a.src id, c.common - 1 sq, greatest(du.degree - 1 - (c.common - 1) - (x.src IS NOT NULL)::INT, 0) + greatest(dw.degree - 1 - (c.common - 1) - (x.src IS NOT NULL)::INT, 0) room
 FROM e a JOIN e b ON a.src = b.src AND a.dst < b.dst JOIN c ON c.src = a.dst AND c.dst = b.dst JOIN d du ON du.id = a.dst JOIN d dw ON dw.id = b.dst LEFT JOIN e x ON x.src = a.dst AND x.dst = b.dst)
 SELECT v.id AS id, round(CASE WHEN coalesce(s.b, 0) > 0 THEN CAST(s.a AS DOUBLE) / s.b ELSE 0.0 END, 9) AS score FROM v LEFT JOIN (SELECT id, sum(sq) a, sum(sq + room) b FROM p GROUP BY id) s ON v.id = s.id""")
 def square_clustering(spark, d):
-    return M.square_clustering(G.copurchase(spark, d))
+    return M.square_clustering(G.copurchase_all(spark, d))
 
 
 @query(COPART + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst")
@@ -281,9 +282,9 @@ def core_number(spark, d):
     return I.core_numbers(G.copurchase(spark, d).kept())
 
 
-@query(COPART + ", n AS (SELECT count(*) n FROM v)" + _rounds("SELECT id, 1.0 / (SELECT n FROM n) AS s FROM v", "SELECT d.id AS id, 0.15 / (SELECT n FROM n) + 0.85 * (SELECT sum(s) FROM {p} JOIN d d0 ON {p}.id = d0.id WHERE d0.degree = 0) / (SELECT n FROM n) + 0.85 * coalesce(g.s, 0) AS s FROM d LEFT JOIN (SELECT e.dst id, sum({p}.s / d1.degree) s FROM e JOIN {p} ON {p}.id = e.src JOIN d d1 ON d1.id = e.src GROUP BY 1) g ON g.id = d.id", 8) + " SELECT id, round(s, 9) AS score FROM x8")
+@query(COPART_ALL + ", n AS (SELECT count(*) n FROM v)" + _rounds("SELECT id, 1.0 / (SELECT n FROM n) AS s FROM v", "SELECT d.id AS id, 0.15 / (SELECT n FROM n) + 0.85 * (SELECT coalesce(sum(s), 0) FROM {p} JOIN d d0 ON {p}.id = d0.id WHERE d0.degree = 0) / (SELECT n FROM n) + 0.85 * coalesce(g.s, 0) AS s FROM d LEFT JOIN (SELECT e.dst id, sum({p}.s / d1.degree) s FROM e JOIN {p} ON {p}.id = e.src JOIN d d1 ON d1.id = e.src GROUP BY 1) g ON g.id = d.id", 8) + " SELECT id, round(s, 9) AS score FROM x8")
 def pagerank(spark, d):
-    return I.pagerank(G.copurchase(spark, d).kept(), rounds=8)
+    return I.pagerank(G.copurchase_all(spark, d).kept(), rounds=8)
 
 
 @query(COPART + _rounds("SELECT id, 0.0 AS s FROM v", "SELECT v.id AS id, 0.01 * coalesce(g.s, 0) + 1.0 AS s FROM v LEFT JOIN (SELECT e.src id, sum({p}.s) s FROM e JOIN {p} ON {p}.id = e.dst GROUP BY 1) g ON g.id = v.id", 8) + " SELECT id, round(s / (SELECT sqrt(sum(s * s)) FROM x8), 9) AS score FROM x8")
@@ -368,26 +369,6 @@ def set_similarities(spark, d):
     return t.select("a", "b", *[F.round(v, 9).alias(k) for k, v in out.items()])
 
 
-# -- partitions and orders ----------------------------------------------------------------------------------------------------
-@query(COPART + ", tot AS (SELECT sum(weight) w FROM e), c AS (SELECT id % 10 c, sum(CASE WHEN src % 10 = dst % 10 THEN weight ELSE 0 END) i, sum(weight) t FROM v JOIN e ON src = id GROUP BY 1) SELECT round(sum(i / (SELECT w FROM tot) - (t / (SELECT w FROM tot)) * (t / (SELECT w FROM tot))), 9) AS modularity FROM c")
-def modularity(spark, d):
-    e = G.copurchase(spark, d).edges
-    c = e.groupBy((F.col("src") % 10).alias("c")).agg(F.sum(F.when(F.col("src") % 10 == F.col("dst") % 10, F.col("weight")).otherwise(0.0)).alias("i"), F.sum("weight").alias("t"))
-    w = e.agg(F.sum("weight").alias("w"))
-    return c.crossJoin(w).agg(F.round(F.sum(F.col("i") / F.col("w") - (F.col("t") / F.col("w")) ** 2), 9).alias("modularity"))
-
-
-@query(COPART + "SELECT id, degree, rank() OVER (ORDER BY degree DESC) AS degree_rank FROM d")
-def degree_desc_order(spark, d):
-    """Standing by falling degree. Ranks come from the counts of each degree, of which there are few, not from one sorted task."""
-    from pyspark.sql.window import Window
-
-    deg = A.out_degree(G.copurchase(spark, d))
-    counts = deg.groupBy("degree").agg(F.count("*").alias("k"))
-    above = counts.select("degree", (F.coalesce(F.sum("k").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("degree_rank"))
-    return deg.join(above, "degree").select("id", "degree", "degree_rank")
-
-
 # -- generators -----------------------------------------------------------------------------------------------------------------
 def _generated(name, make, sql):
     def f(spark, d):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
+from weftgraph.runtime import materialize
 
 
 def _graph(spark: SparkSession, n: int, edges: DataFrame) -> Graph:
@@ -105,3 +106,82 @@ def random_tree(spark: SparkSession, seed: int, n: int) -> Graph:
     """Each vertex after the first hangs on a hashed earlier one."""
     e = spark.range(1, max(n, 1)).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("id")).alias("src"), F.col("id").alias("dst"))
     return _graph(spark, n, e)
+
+
+def triangular_lattice(spark: SparkSession, rows: int, cols: int) -> Graph:
+    """The grid with one diagonal in every cell, from the upper left to the lower right."""
+    ids = spark.range(rows * cols)
+    down = ids.where((F.col("id") % cols + 1 < cols) & ((F.col("id") / cols).cast("long") + 1 < rows)).select(F.col("id").alias("src"), (F.col("id") + cols + 1).alias("dst"))
+    return _graph(spark, rows * cols, grid(spark, rows, cols).edges.where("src < dst").select("src", "dst").union(down))
+
+
+def hexagonal_lattice(spark: SparkSession, rows: int, cols: int) -> Graph:
+    """Brick wall of hexagons: the grid, whose vertical edges stay where row and column numbers have an even sum."""
+    e = grid(spark, rows, cols).edges.where("src < dst").select("src", "dst")
+    i, j = (F.col("src") / cols).cast("long"), F.col("src") % cols
+    return _graph(spark, rows * cols, e.where((F.col("dst") == F.col("src") + 1) | ((i + j) % 2 == 0)))
+
+
+def _chance(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) from the md5 of the seed and columns: the same wherever md5 is."""
+    text = F.concat_ws("/", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def random_pairs(spark: SparkSession, n: int, chance: Callable, seed: int = 0) -> Graph:
+    """Each pair src < dst with probability ``chance(src, dst)``, a column: block models and given expected degrees are such graphs."""
+    s, d = F.col("src"), F.col("dst")
+    return _graph(spark, n, _pairs(spark, n, lambda a, b: _chance(seed, a, b) < chance(s, d)))
+
+
+def stochastic_block_model(spark: SparkSession, sizes: list[int], inside: float, between: float, seed: int = 0) -> Graph:
+    """Blocks of consecutive vertices; an edge has probability ``inside`` within a block and ``between`` across."""
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    block = lambda x: sum((F.when(x >= e, 1).otherwise(0) for e in ends[1:]), F.when(x >= ends[0], 1).otherwise(0))
+    return random_pairs(spark, ends[-1], lambda s, d: F.when(block(s) == block(d), inside).otherwise(between), seed)
+
+
+def chung_lu(spark: SparkSession, weights: list[float], seed: int = 0) -> Graph:
+    """An edge has probability w_a w_b / sum(w), at most 1; the expected degree of a vertex is its weight."""
+    w, total = F.array(*[F.lit(float(x)) for x in weights]), float(sum(weights))
+    return random_pairs(spark, len(weights), lambda s, d: F.get(w, s.cast("int")) * F.get(w, d.cast("int")) / total, seed)
+
+
+def gnm(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
+    """The m pairs of the smallest hash; ties by the pair."""
+    e = _pairs(spark, n, lambda s, d: F.lit(True)).orderBy(_chance(seed, F.col("src"), F.col("dst")), "src", "dst").limit(m)
+    return _graph(spark, n, e)
+
+
+def random_dag(spark: SparkSession, n: int, p: float, seed: int = 0) -> Graph:
+    """Edges from lower to higher ids, each with probability p."""
+    e = _pairs(spark, n, lambda s, d: _chance(seed, s, d) < p)
+    return Graph.build(spark.range(n), e, directed=True)
+
+
+def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, seed: int = 0) -> Graph:
+    """A ring in which each vertex has edges to its k / 2 next; each edge moves its far end, with probability p, to a hashed vertex.
+
+    An edge that would become a loop or meet another stays where it was or falls together with it.
+    """
+    ring = spark.range(n).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(k // 2))).alias("j"))
+    far = (F.col("a") + F.col("j")) % n
+    to = (_chance(seed + 1, F.col("a"), F.col("j")) * n).cast("long")
+    e = ring.select("a", F.when((_chance(seed, F.col("a"), F.col("j")) < p) & (to != F.col("a")), to).otherwise(far).cast("long").alias("b"))
+    return _graph(spark, n, e.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+
+
+def preferential_attachment(spark: SparkSession, n: int, seed: int = 0) -> Graph:
+    """A tree in which each new vertex copies an end of an earlier edge: vertex v picks edge e < v - 1 by hash and joins one of its ends.
+
+    An end that is itself a copy is resolved by rounds of pointer jumping, so all vertices attach at once.
+    """
+    v = spark.range(2, n).select(F.col("id"), (_chance(seed, F.col("id")) * (F.col("id") - 1)).cast("long").alias("e"), (_chance(seed + 1, F.col("id")) < 0.5).alias("near"))
+    # edge k joins vertex k + 1 to its target; the near end is the vertex, the far end the target of that edge
+    done = materialize(spark.range(1, min(n, 2)).select(F.col("id"), F.lit(0).cast("long").alias("to")).union(v.where("near").select("id", (F.col("e") + 1).alias("to"))), "targets")
+    wait = materialize(v.where("not near").select("id", (F.col("e") + 1).alias("of")), "copies")
+    while not wait.isEmpty():
+        got = wait.join(done.select(F.col("id").alias("of"), "to"), "of")
+        left = wait.join(wait.select(F.col("id").alias("of"), F.col("of").alias("next")), "of").select("id", F.col("next").alias("of"))
+        done, wait = materialize(done.union(got.select("id", "to")), "targets"), materialize(left, "copies")
+    return _graph(spark, n, done.select(F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst")))

@@ -20,6 +20,13 @@ def copurchase(spark: SparkSession, sf_dir: str, least_quantity: float = 40, fla
     return Graph.build(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), e)
 
 
+def copurchase_all(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts bought together in any order: an edge for two parts of one order over all lines; weight = orders."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    e = p.join(p.select("o", F.col("p").alias("q")), "o").where("p < q").groupBy(F.col("p").alias("src"), F.col("q").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    return Graph.build(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), e)
+
+
 def geography(spark: SparkSession, sf_dir: str) -> Graph:
     """The tree root (0) -> regions (1 + key) -> nations (100 + key) -> suppliers (10^6 + key) and customers (10^9 + key)."""
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
