@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontam, fingerprint, language_id, near_dedup, packing, paragraph_dedup, quality, secrets, toxicity, warc
+from weftgraph.llm import decontam, fingerprint, language_id, near_dedup, oracles, packing, paragraph_dedup, quality, secrets, toxicity, warc
 from weftgraph.llm.common import documents
 
 
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
