@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph
+from weftgraph.graph import Graph, GraphError
+from weftgraph.operators.access import positions
 from weftgraph.runtime import materialize
 
 
@@ -185,3 +186,45 @@ def preferential_attachment(spark: SparkSession, n: int, seed: int = 0) -> Graph
         left = wait.join(wait.select(F.col("id").alias("of"), F.col("of").alias("next")), "of").select("id", F.col("next").alias("of"))
         done, wait = materialize(done.union(got.select("id", "to")), "targets"), materialize(left, "copies")
     return _graph(spark, n, done.select(F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst")))
+
+
+def configuration_model(spark: SparkSession, degrees: DataFrame, seed: int = 0) -> Graph:
+    """From degrees(id, degree): the ends of edges in hashed order, joined two by two; loops and repeated edges are dropped. An odd sum is an error."""
+    stubs = degrees.where("degree > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("degree").cast("int"))).alias("k"))
+    placed = positions(stubs.select("id", "k", _chance(seed, F.col("id"), F.col("k")).alias("c")), F.asc("c"), F.asc("id"), F.asc("k"))
+    ends = placed.groupBy((F.col("position") / 2).cast("long").alias("pair")).agg(F.min("id").alias("src"), F.max("id").alias("dst"), F.count("*").alias("n"))
+    ends = materialize(ends, "stub-pairs")
+    if not ends.where("n <> 2").isEmpty():
+        raise GraphError("the sum of the degrees is odd")
+    return Graph.build(degrees.select("id"), ends.where("src <> dst").select("src", "dst").distinct())
+
+
+def random_regular(spark: SparkSession, n: int, k: int, seed: int = 0, most: int = 1000) -> Graph:
+    """All vertices of degree k: pairings of ends are drawn until one has neither loop nor repeated edge; an error after ``most`` draws.
+
+    A draw succeeds with a chance of about exp(-(k * k - 1) / 4), whatever n is, so k should be small.
+    """
+    if not 0 <= k < max(n, 1) or n * k % 2:
+        raise GraphError("a regular graph needs k < n and an even n * k")
+    for draw in range(most):
+        g = configuration_model(spark, spark.range(n).select("id", F.lit(k).alias("degree")), seed * most + draw).kept()
+        if g.edges.count() == n * k:
+            return g
+    raise GraphError("no regular graph was drawn")
+
+
+def random_geometric(spark: SparkSession, n: int, radius: float, seed: int = 0) -> Graph:
+    """Hashed points of the unit square, an edge where two are no further apart than ``radius``.
+
+    Points meet in grid cells as wide as the radius: each is copied to the nine cells around its own, so the join is an equi-join.
+    """
+    if radius <= 0:
+        return _graph(spark, n, spark.range(0).select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    pts = spark.range(n).select("id", _chance(seed, F.col("id")).alias("x"), _chance(seed + 1, F.col("id")).alias("y"))
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    a = pts.select(F.col("id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"), cell("x").alias("i"), cell("y").alias("j"))
+    b = pts.select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), near.alias("di")).select("*", near.alias("dj"))
+    b = b.select("dst", "x2", "y2", (F.floor(F.col("x2") / radius) + F.col("di")).alias("i"), (F.floor(F.col("y2") / radius) + F.col("dj")).alias("j"))
+    far = (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")) + (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2"))
+    return _graph(spark, n, a.join(b, ["i", "j"]).where((F.col("src") < F.col("dst")) & (far <= radius * radius)).select("src", "dst"))
