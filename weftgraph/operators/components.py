@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from weftgraph.runtime import materialize
 
 
-def star_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60, loops: bool = True) -> DataFrame:
     """``edges(u, v)`` -> ``(id, component)`` for every endpoint; component = smallest reachable id.
 
     Alternates large-star and small-star rewrites until the edge list is a set of stars. Each
     round is two partially aggregated shuffles, the number of rounds is logarithmic in practice,
     and a hub costs one row per incident edge (never a quadratic expansion). Self-loops make
-    their vertex appear with itself. Nulls are dropped.
+    their vertex appear with itself, unless ``loops`` is false: the input is then read once. Nulls are dropped.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null")
-    loops = e.where("u = v").select(F.col("u").alias("id"))
+    alone = e.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("component"))
     cur = materialize(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = None
     for _ in range(max_rounds):
@@ -39,5 +39,4 @@ def star_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) ->
         raise RuntimeError("components did not settle")
     ids = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    rest = loops.select("id", F.col("id").alias("component"))
-    return ids.union(roots).union(rest).groupBy("id").agg(F.min("component").alias("component"))
+    return (ids.union(roots).union(alone) if loops else ids.union(roots)).groupBy("id").agg(F.min("component").alias("component"))

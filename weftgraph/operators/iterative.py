@@ -12,25 +12,25 @@ from pyspark.sql import functions as F
 from weftgraph.graph import Graph, GraphError
 from weftgraph.operators.access import out_degree
 from weftgraph.operators.components import star_components
-from weftgraph.runtime import materialize
+from weftgraph.runtime import materialize, materialize_with
 
 
 def connected_components(g: Graph) -> DataFrame:
     """(id, component): the smallest id of the component, isolated vertices included."""
-    loops = g.vertices.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    return star_components(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(loops))
+    joined = star_components(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), loops=False)
+    return g.vertices.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def hops(g: Graph, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(src, id, depth): directed hop counts from each of sources(src), 0 at the source itself."""
     seen = materialize(sources.select("src", F.col("src").alias("id"), F.lit(0).alias("depth")), "hops")
     front, depth = seen, 0
-    step = g.edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
+    step = materialize(g.edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct(), "steps")
     while most is None or depth < most:
         depth += 1
         new = front.select("src", "id").join(step, "id").select("src", F.col("to").alias("id")).distinct().join(seen, ["src", "id"], "left_anti")
-        front = materialize(new.withColumn("depth", F.lit(depth)), "front")
-        if front.isEmpty():
+        front, facts = materialize_with(new.withColumn("depth", F.lit(depth)), "front", n=F.count("*"))
+        if not facts["n"]:
             break
         seen = seen.union(front)
     return seen
@@ -63,11 +63,12 @@ def shortest_distances(g: Graph, sources: DataFrame) -> DataFrame:
         raise GraphError("a weight is not finite")
     if not g.edges.where("weight < 0").isEmpty():
         raise GraphError("a weight is negative")
-    best = materialize(sources.select("src", F.col("src").alias("id"), F.lit(0.0).alias("distance")), "dist")
+    best, facts = materialize_with(sources.select("src", F.col("src").alias("id"), F.lit(0.0).alias("distance")), "dist", n=F.count("*"))
     front = best
-    while not front.isEmpty():
+    while facts["n"]:
         reach = front.join(g.edges.select(F.col("src").alias("id"), "dst", "weight"), "id").groupBy("src", F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
-        both = materialize(best.join(reach, ["src", "id"], "full").select("src", "id", F.least("distance", "new").alias("distance"), (F.col("distance").isNull() | (F.col("new") < F.col("distance"))).alias("fresh")), "dist")
+        both = best.join(reach, ["src", "id"], "full").select("src", "id", F.least("distance", "new").alias("distance"), (F.col("distance").isNull() | (F.col("new") < F.col("distance"))).alias("fresh"))
+        both, facts = materialize_with(both, "dist", n=F.count(F.when(F.col("fresh"), 1)))
         best = both.select("src", "id", "distance")
         front = both.where("fresh").select("src", "id", "distance")
     return best
@@ -127,19 +128,27 @@ def tree_facts(g: Graph) -> DataFrame:
 
 
 def kahn_layers(g: Graph) -> DataFrame:
-    """(id, layer): the longest path to each vertex of a DAG, by peeling vertices without a live predecessor."""
-    live, edges, out, layer = g.vertices, g.edges.select("src", "dst").distinct(), None, 0
-    while True:
-        top = materialize(live.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("layer", F.lit(layer).cast("long")), "layer")
-        if top.isEmpty():
-            break
-        out = top if out is None else out.union(top)
-        live = materialize(live.join(top, "id", "left_anti"), "live")
-        edges = materialize(edges.join(top.select(F.col("id").alias("src")), "src", "left_anti"), "live-e")
-        layer += 1
-    if not live.isEmpty():
+    """(id, layer): the longest path to each vertex of a DAG, by peeling vertices without a live predecessor.
+
+    A round writes one table: the vertices that the last layer's edges lead to, with the number of their edges met so far. Those
+    whose edges are all met are the next layer. Edges and finished vertices are not written again.
+    """
+    step = materialize(g.edges.select("src", "dst").distinct(), "kahn-e")
+    need = materialize(step.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need")), "kahn-need")
+    layer = F.lit(0).cast("long").alias("layer")
+    front, facts = materialize_with(g.vertices.join(need, "id", "left_anti").select("id", layer), "layer", n=F.count("*"))
+    out, met, depth, done = front, None, 0, facts["n"]
+    while facts["n"]:
+        depth += 1
+        hit = step.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
+        hit = hit if met is None else hit.union(met).groupBy("id").agg(F.sum("met").alias("met"))
+        ready = F.col("met") == F.col("need")
+        both, facts = materialize_with(hit.join(need, "id").select("id", "met", ready.alias("ready")), "layer", n=F.count(F.when(F.col("ready"), 1)))
+        front, met = both.where("ready").select("id", F.lit(depth).cast("long").alias("layer")), both.where("not ready").select("id", "met")
+        out, done = out.union(front), done + facts["n"]
+    if done < g.vertices.count():
         raise GraphError("the graph has a cycle")
-    return out if out is not None else live.withColumn("layer", F.lit(0).cast("long"))
+    return out
 
 
 def has_cycle(g: Graph) -> DataFrame:

@@ -16,6 +16,7 @@ def information_content(g: Graph, occurrences: DataFrame) -> DataFrame:
     Layers of the DAG are taken from the deepest up, one join and sum each. A sink without occurrences is refused.
     """
     occ = g.vertices.join(occurrences.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("decimal(38,0)").alias("own"))
+    occ = materialize(occ, "occurrences")
     if not occ.where("own <= 0").join(g.edges.select(F.col("src").alias("id")), "id", "left_anti").isEmpty():
         raise GraphError("a sink has no occurrences")
     layers = materialize(kahn_layers(g).join(occ, "id"), "ic-layers")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _shipped: set[str] = set()
 
@@ -45,6 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_with(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and aggregates of the rows, taken while they are written: no second job reads the table."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in aggregates.items()]), name)
+    return out, seen.get
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once an application."""
     app = spark.sparkContext.applicationId
