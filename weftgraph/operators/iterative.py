@@ -6,7 +6,9 @@ and read again, which bounds the plan and survives the loss of executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, GraphError
@@ -88,22 +90,64 @@ def all_pairs_shortest(g: Graph) -> DataFrame:
     return cur.select("src", F.col("dst").alias("id"), F.col("d").alias("distance"))
 
 
-def diameter(g: Graph) -> DataFrame:
-    """Largest hop distance of a connected graph; 0 up to one vertex."""
-    n = g.vertices.count()
-    h = materialize(hops(g, g.vertices.select(F.col("id").alias("src"))), "all-hops")
-    if n > 1 and h.count() < n * n:
-        raise GraphError("the graph is disconnected")
-    return h.agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("diameter"))
+def diameter(g: Graph, batch: int = 64) -> DataFrame:
+    """Largest hop distance of a connected undirected graph; 0 up to one vertex.
+
+    Directed graphs take the distances of all pairs. Otherwise two sweeps give a long path; its middle vertex m orders the others by their depth below m. Two vertices of depth i or
+    less are at most 2 i apart, so once the longest distance found reaches that for the depths not yet
+    searched, it is the diameter. Vertices are searched from the deepest on, ``batch`` sources at a time: state is V * batch.
+    """
+    spark, n = g.vertices.sparkSession, g.vertices.count()
+    answer = lambda x: spark.range(1).select(F.lit(x).cast("long").alias("diameter"))
+    if n <= 1:
+        return answer(0)
+    if g.directed:
+        most = hops(g, g.vertices.select(F.col("id").alias("src"))).agg(F.max("depth").alias("far"), F.count("*").alias("n")).first()
+        if most["n"] < n * n:
+            raise GraphError("the graph is disconnected")
+        return answer(most["far"])
+
+    def sweep(v: int) -> tuple[DataFrame, int, int]:
+        """Depths below v, written; the deepest vertex (least id) and its depth."""
+        h = materialize(hops(g, spark.createDataFrame([(v,)], "src long")).select("id", "depth"), "sweep")
+        last = h.agg(F.max(F.struct("depth", (-F.col("id")).alias("i"))).alias("x"), F.count("*").alias("n")).first()
+        if last["n"] < n:
+            raise GraphError("the graph is disconnected")
+        return h, -last["x"]["i"], last["x"]["depth"]
+
+    _, a, _ = sweep(g.vertices.agg(F.min("id")).first()[0])
+    below_a, b, best = sweep(a)
+    below_b, _, _ = sweep(b)
+    path = below_a.join(below_b.withColumnRenamed("depth", "back"), "id").where(F.col("depth") + F.col("back") == best)
+    middle, _, deep = sweep(path.where(F.col("depth") == best // 2).agg(F.min("id")).first()[0])
+    for depth in range(deep, 0, -1):
+        if best >= 2 * depth:
+            break
+        level, last = middle.where(F.col("depth") == depth), None
+        while best < 2 * depth:
+            some = level if last is None else level.where(F.col("id") > last)
+            some = some.select(F.col("id").alias("src")).orderBy("src").limit(batch)
+            far = hops(g, some).agg(F.max("depth").alias("far"), F.max("src").alias("last")).first()
+            if far["last"] is None:
+                break
+            best, last = max(best, far["far"]), far["last"]
+    return answer(best)
+
 
+def closeness(g: Graph, improved: bool = True, pairs: int = 1_000_000_000) -> DataFrame:
+    """(reached - 1) / sum of distances, times (reached - 1) / (n - 1) if ``improved``.
 
-def closeness(g: Graph, improved: bool = True) -> DataFrame:
-    """(reached - 1) / sum of distances, times (reached - 1) / (n - 1) if ``improved``."""
+    Sources go in batches dealt by a hash of the id, so that the table of one batch's distances has about ``pairs`` rows at most.
+    """
     n = g.vertices.count()
-    h = hops(g, g.vertices.select(F.col("id").alias("src")))
-    s = h.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("r"), F.sum("depth").alias("d"))
+    batches, s = max(1, -(-n * n // pairs)), None
+    for k in range(batches):
+        own = g.vertices.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k)
+        sums = hops(g, own.select(F.col("id").alias("src"))).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("r"), F.sum("depth").alias("d"))
+        sums = sums if batches == 1 else materialize(sums, "closeness")
+        s = sums if s is None else s.union(sums)
     r = F.col("r") - 1
-    score = r / F.col("d") * (r / F.lit(max(n - 1, 1)) if improved else F.lit(1.0))
+    score = F.try_divide(r, F.col("d")) * (r / F.lit(max(n - 1, 1)) if improved else F.lit(1.0))
     return s.select("id", F.round(F.when(F.col("d") > 0, score).otherwise(0.0), 9).alias("score"))
 
 
@@ -218,26 +262,31 @@ def core_numbers(g: Graph) -> DataFrame:
     return g.vertices.join(cur, "id", "left").join(loops, "id", "left").select("id", (F.coalesce("c", F.lit(0)) + F.coalesce("loop", F.lit(0))).cast("long").alias("core"))
 
 
-def _moved(old: DataFrame, new: DataFrame) -> float:
-    """Sum of the changes between two tables (id, score)."""
-    both = old.select("id", F.col("score").alias("was")).join(new.select("id", "score"), "id")
-    return both.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("was"))), F.lit(0.0))).first()[0]
+def _change() -> Column:
+    return F.sum(F.abs(F.col("score") - F.col("was")))
+
+
+def _ended(facts: dict, n: int, rounds: int | None, tolerance: float) -> bool:
+    return rounds is None and (not n or (facts["change"] or 0.0) < n * tolerance)
 
 
 def pagerank(g: Graph, alpha: float = 0.85, rounds: int | None = None, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(id, score) from the uniform start, until a round changes less than n * ``tolerance`` in all; an error after ``most``.
 
-    With ``rounds``, exactly so many and no test. The mass of vertices without edges is spread evenly.
+    With ``rounds``, exactly so many and no test. The mass of vertices without edges is spread evenly; it and the
+    change are summed while a round is written, so a round is one job.
     """
-    d = materialize(out_degree(g), "deg")
-    n = d.count()
-    cur = materialize(d.select("id", "degree", F.lit(1.0 / max(n, 1)).alias("score")), "pr")
+    idle = F.sum(F.when(F.col("degree") == 0, F.col("score")))
+    deg, facts = materialize_with(out_degree(g), "deg", n=F.count("*"), idle=F.count(F.when(F.col("degree") == 0, 1)))
+    n = facts["n"]
+    cur, dangling = deg.select("id", "degree", F.lit(1.0 / max(n, 1)).alias("score")), facts["idle"] / max(n, 1)
     for _ in range(most if rounds is None else rounds):
-        before = cur
-        dangling = cur.where("degree = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         got = g.edges.join(cur.where("degree > 0").select(F.col("id").alias("src"), F.try_divide("score", "degree").alias("s")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("s").alias("got"))
-        cur = materialize(d.join(got, "id", "left").select("id", "degree", (F.lit((1 - alpha) / max(n, 1) + alpha * dangling / max(n, 1)) + alpha * F.coalesce("got", F.lit(0.0))).alias("score")), "pr")
-        if rounds is None and (not n or _moved(before, cur) < n * tolerance):
+        score = F.lit((1 - alpha) / max(n, 1) + alpha * dangling / max(n, 1)) + alpha * F.coalesce("got", F.lit(0.0))
+        new = cur.withColumnRenamed("score", "was").join(got, "id", "left").select("id", "degree", "was", score.alias("score"))
+        cur, facts = materialize_with(new, "pr", change=_change(), idle=idle)
+        cur, dangling = cur.drop("was"), facts["idle"] or 0.0
+        if _ended(facts, n, rounds, tolerance):
             break
     else:
         if rounds is None:
@@ -248,31 +297,36 @@ def pagerank(g: Graph, alpha: float = 0.85, rounds: int | None = None, most: int
 def katz(g: Graph, alpha: float = 0.01, beta: float = 1.0, rounds: int | None = None, most: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """x = alpha A x + beta from 0, unit length at the end. Rounds and errors as in ``pagerank``."""
     n = g.vertices.count()
-    cur = materialize(g.vertices.select("id", F.lit(0.0).alias("score")), "katz")
+    cur, facts = g.vertices.select("id", F.lit(0.0).alias("score")), {"square": 0.0}
     for _ in range(most if rounds is None else rounds):
-        before = cur
         got = g.edges.join(cur.select(F.col("id").alias("dst"), "score"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("score").alias("got"))
-        cur = materialize(g.vertices.join(got, "id", "left").select("id", (alpha * F.coalesce("got", F.lit(0.0)) + beta).alias("score")), "katz")
-        if rounds is None and (not n or _moved(before, cur) < n * tolerance):
+        new = cur.withColumnRenamed("score", "was").join(got, "id", "left").select("id", "was", (alpha * F.coalesce("got", F.lit(0.0)) + beta).alias("score"))
+        cur, facts = materialize_with(new, "katz", change=_change(), square=F.sum(F.col("score") * F.col("score")))
+        cur = cur.drop("was")
+        if _ended(facts, n, rounds, tolerance):
             break
     else:
         if rounds is None:
             raise GraphError("Katz centrality did not converge")
-    norm = cur.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
+    norm = math.sqrt(facts["square"] or 0.0) or 1.0
     return cur.select("id", F.round(F.col("score") / norm, 9).alias("score"))
 
 
 def eigenvector_centrality(g: Graph, rounds: int | None = None, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """Power iteration on A + I from the uniform vector, unit length after each round. Rounds and errors as in ``pagerank``."""
+    """Power iteration on A + I from the uniform vector, unit length after each round. Rounds and errors as in ``pagerank``.
+
+    A round writes its vector before scaling, beside the last one; the length and the sums that give the change
+    of the scaled vector come from the next read of it.
+    """
     n = max(g.vertices.count(), 1)
-    cur = materialize(g.vertices.select("id", F.lit(1.0 / n).alias("score")), "eig")
+    cur = g.vertices.select("id", F.lit(1.0 / n).alias("score"))
     for _ in range(most if rounds is None else rounds):
-        before = cur
         got = g.edges.join(cur.select(F.col("id").alias("dst"), "score"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("score").alias("got"))
-        raw = materialize(cur.join(got, "id", "left").select("id", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score")), "eig")
-        norm = raw.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
-        cur = raw.select("id", (F.col("score") / norm).alias("score"))
-        if rounds is None and _moved(before, cur) < n * tolerance:
+        new = cur.withColumnRenamed("score", "was").join(got, "id", "left").select("id", "was", (F.col("was") + F.coalesce("got", F.lit(0.0))).alias("score"))
+        raw, facts = materialize_with(new, "eig", square=F.sum(F.col("score") * F.col("score")))
+        scaled = raw.withColumn("score", F.col("score") / (math.sqrt(facts["square"] or 0.0) or 1.0))
+        cur = scaled.drop("was")
+        if rounds is None and _ended({"change": scaled.agg(_change()).first()[0]}, n, rounds, tolerance):
             break
     else:
         if rounds is None:

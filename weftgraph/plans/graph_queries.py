@@ -168,19 +168,19 @@ def square_clustering(spark, d):
     return M.square_clustering(G.copurchase_all(spark, d))
 
 
-@query(COPART + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst")
+@query(COPART_ALL + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst")
 def vf2_count_path3(spark, d):
-    return M.count_paths3(G.copurchase(spark, d))
+    return M.count_paths3(G.copurchase_all(spark, d))
 
 
-@query(COPART + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.src = a.dst AND x.dst = b.dst)")
+@query(COPART_ALL + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.src = a.dst AND x.dst = b.dst)")
 def vf2_count_path3_induced(spark, d):
-    return M.count_paths3(G.copurchase(spark, d), induced=True)
+    return M.count_paths3(G.copurchase_all(spark, d), induced=True)
 
 
-@query(COPART + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.dst = b.src AND a.src <> b.dst JOIN e c ON c.src = b.dst AND c.dst = a.src")
+@query(COPART_ALL + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.dst = b.src AND a.src <> b.dst JOIN e c ON c.src = b.dst AND c.dst = a.src")
 def vf2_count_triangle(spark, d):
-    return M.count_triangle_embeddings(G.copurchase(spark, d))
+    return M.count_triangle_embeddings(G.copurchase_all(spark, d))
 
 
 @query(COPART + ", u AS (SELECT src, dst FROM e WHERE src < dst) SELECT a.src AS a_src, a.dst AS a_dst, b.src AS b_src, b.dst AS b_dst FROM u a JOIN u b ON (a.src, a.dst) < (b.src, b.dst) AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst))")
@@ -193,13 +193,12 @@ def directed_line_graph(spark, d):
     return M.directed_line_graph(G.trade(spark, d))
 
 
-@query(TRADE + ", p AS (SELECT a.id u, b.id v FROM v a, v b WHERE a.id < 5 AND b.id >= 20), c AS (SELECT src, dst FROM e WHERE weight < 2000) SELECT a.u AS u1, a.v AS v1, b.u AS u2, b.v AS v2 FROM p a JOIN p b ON (a.u, a.v) < (b.u, b.v) AND a.u <> b.u AND a.v <> b.v WHERE EXISTS (SELECT 1 FROM c WHERE src = a.u AND dst = b.u) = EXISTS (SELECT 1 FROM c WHERE src = a.v AND dst = b.v)")
+@query(TRADE + ", p AS (SELECT a.id u, b.id v FROM v a, v b), h AS (SELECT a.n_nationkey src, b.n_nationkey dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey), x AS (SELECT a.u u1, a.v v1, b.u u2, b.v v2 FROM p a JOIN p b ON (a.u, a.v) < (b.u, b.v) AND a.u <> b.u AND a.v <> b.v) SELECT u1, v1, u2, v2 FROM x WHERE EXISTS (SELECT 1 FROM e WHERE src = u1 AND dst = u2) = EXISTS (SELECT 1 FROM h WHERE src = v1 AND dst = v2)")
 def modular_product(spark, d):
-    """Of the trade graph's cheap edges between two sets of five nations each: the pairs are given, not all rows."""
-    g = G.trade(spark, d)
-    cheap = Graph(g.vertices, g.edges.where("weight < 2000"), True)
-    pairs = g.vertices.where("id < 5").select(F.col("id").alias("u")).crossJoin(g.vertices.where("id >= 20").select(F.col("id").alias("v")))
-    return M.modular_product(pairs, cheap, cheap)
+    """Of trade between nations and of nations of one region, over all pairs of nations."""
+    g, h = G.trade(spark, d), G.same_region(spark, d)
+    pairs = g.vertices.select(F.col("id").alias("u")).crossJoin(h.vertices.select(F.col("id").alias("v")))
+    return M.modular_product(pairs, g, h)
 
 
 # -- traversal, components, structure ---------------------------------------------------------------------------------------
@@ -235,10 +234,9 @@ def has_cycle(spark, d):
     return I.has_cycle(G.geography(spark, d).kept())
 
 
-@query(TRADE + ", f AS (SELECT * FROM e WHERE weight < 1100), r(src, id) AS (SELECT id, id FROM v UNION SELECT r.src, f.dst FROM r JOIN f ON f.src = r.id) SELECT a.id AS id, min(a.src) AS component FROM r a JOIN r b ON a.src = b.id AND a.id = b.src GROUP BY a.id")
+@query(COPART_ALL + ", f AS (SELECT src, dst FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) = 1), r(src, id) AS (SELECT id, id FROM v UNION SELECT r.src, f.dst FROM r JOIN f ON f.src = r.id) SELECT a.id AS id, min(a.src) AS component FROM r a JOIN r b ON a.src = b.id AND a.id = b.src GROUP BY a.id")
 def strongly_connected(spark, d):
-    g = G.trade(spark, d)
-    return I.strongly_connected_components(Graph(g.vertices, g.edges.where("weight < 1100"), True).kept())
+    return I.strongly_connected_components(G.partners(spark, d).kept())
 
 
 @query(GEO + ", h(id, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT dst, depth + 1 FROM h JOIN e ON src = id) SELECT id, depth % 2 AS color FROM h")
@@ -264,17 +262,20 @@ def floyd_warshall(spark, d):
     return I.all_pairs_shortest(G.trade(spark, d).kept()).select("src", "id", F.round("distance", 6).alias("distance"))
 
 
-@query(GEO + ", t AS (SELECT src, dst FROM e WHERE dst < 1000), b AS (SELECT * FROM t UNION ALL SELECT dst, src FROM t), h(src, id, depth) AS (SELECT id, id, 0 FROM v WHERE id < 1000 UNION SELECT h.src, b.dst, depth + 1 FROM h JOIN b ON b.src = h.id WHERE depth < 6), m AS (SELECT src, id, min(depth) depth FROM h GROUP BY 1, 2) SELECT max(depth) AS diameter FROM m")
+# in a tree the way between two vertices leads over their lowest common ancestor
+APART = GEO + ", up(id, anc, k) AS (SELECT id, id, 0 FROM v UNION ALL SELECT up.id, e.src, k + 1 FROM up JOIN e ON e.dst = up.anc), m AS (SELECT a.id src, b.id id, min(a.k + b.k) depth FROM up a JOIN up b ON a.anc = b.anc GROUP BY 1, 2)\n"
+
+
+@query(APART + "SELECT CAST(max(depth) AS BIGINT) AS diameter FROM m")
 def diameter(spark, d):
-    """Of the tree above the nations, which has the same few vertices at every scale."""
     g = G.geography(spark, d)
-    return I.diameter(Graph.build(g.vertices.where("id < 1000"), g.edges.where("dst < 1000")).kept())
+    return I.diameter(Graph.build(g.vertices, g.edges).kept())
 
 
-@query(GEO + ", t AS (SELECT src, dst FROM e WHERE dst < 1000), b AS (SELECT * FROM t UNION ALL SELECT dst, src FROM t), h(src, id, depth) AS (SELECT id, id, 0 FROM v WHERE id < 1000 UNION SELECT h.src, b.dst, depth + 1 FROM h JOIN b ON b.src = h.id WHERE depth < 6), m AS (SELECT src, id, min(depth) depth FROM h GROUP BY 1, 2), n AS (SELECT count(*) n FROM v WHERE id < 1000) SELECT src AS id, round((count(*) - 1) / CAST(sum(depth) AS DOUBLE) * ((count(*) - 1) / CAST((SELECT n - 1 FROM n) AS DOUBLE)), 9) AS score FROM m GROUP BY src")
+@query(APART + "SELECT src AS id, round((count(*) - 1) / CAST(sum(depth) AS DOUBLE) * ((count(*) - 1) / CAST((SELECT count(*) - 1 FROM v) AS DOUBLE)), 9) AS score FROM m GROUP BY src")
 def closeness(spark, d):
     g = G.geography(spark, d)
-    return I.closeness(Graph.build(g.vertices.where("id < 1000"), g.edges.where("dst < 1000")).kept())
+    return I.closeness(Graph.build(g.vertices, g.edges).kept())
 
 
 @query(COPART + _rounds("SELECT id, CAST(degree AS BIGINT) c FROM d", "SELECT v.id id, coalesce(h, 0) c FROM v LEFT JOIN (SELECT id, max(least(rn, c)) h FROM (SELECT e.src id, {p}.c c, row_number() OVER (PARTITION BY e.src ORDER BY {p}.c DESC) rn FROM e JOIN {p} ON {p}.id = e.dst) GROUP BY id) ON id = v.id".replace("ON id = v.id", "y ON y.id = v.id"), 8) + " SELECT id, CAST(c AS BIGINT) AS core FROM x8")
@@ -282,24 +283,32 @@ def core_number(spark, d):
     return I.core_numbers(G.copurchase(spark, d).kept())
 
 
-@query(COPART_ALL + ", n AS (SELECT count(*) n FROM v)" + _rounds("SELECT id, 1.0 / (SELECT n FROM n) AS s FROM v", "SELECT d.id AS id, 0.15 / (SELECT n FROM n) + 0.85 * (SELECT coalesce(sum(s), 0) FROM {p} JOIN d d0 ON {p}.id = d0.id WHERE d0.degree = 0) / (SELECT n FROM n) + 0.85 * coalesce(g.s, 0) AS s FROM d LEFT JOIN (SELECT e.dst id, sum({p}.s / d1.degree) s FROM e JOIN {p} ON {p}.id = e.src JOIN d d1 ON d1.id = e.src GROUP BY 1) g ON g.id = d.id", 8) + " SELECT id, round(s, 9) AS score FROM x8")
+def _until(start: str, step: str, n: int) -> str:
+    """SQL of power rounds that keep their values from the round on that changed less than 1e-6 a vertex; n rounds are written out, more than it takes."""
+    one = "SELECT id, CASE WHEN done THEN was ELSE s END AS s, done OR sum(abs(s - was)) OVER () < 1e-6 * count(*) OVER () AS done FROM (SELECT o.id id, o.s was, y.s s, o.done done FROM {p} o JOIN ({step}) y ON y.id = o.id)"
+    parts = [f", x0 AS MATERIALIZED (SELECT id, s, false AS done FROM ({start}))"] + [f", x{i} AS MATERIALIZED ({one.format(p=f'x{i - 1}', step=step.format(p=f'x{i - 1}'))})" for i in range(1, n + 1)]
+    return "".join(parts)
+
+
+@query(COPART_ALL + ", n AS (SELECT count(*) n FROM v)" + _until("SELECT id, 1.0::DOUBLE / (SELECT n FROM n) AS s FROM v", "SELECT d.id AS id, 0.15 / (SELECT n FROM n) + 0.85 * (SELECT coalesce(sum(s), 0) FROM {p} JOIN d d0 ON {p}.id = d0.id WHERE d0.degree = 0) / (SELECT n FROM n) + 0.85 * coalesce(g.s, 0) AS s FROM d LEFT JOIN (SELECT e.dst id, sum({p}.s / d1.degree) s FROM e JOIN {p} ON {p}.id = e.src JOIN d d1 ON d1.id = e.src GROUP BY 1) g ON g.id = d.id", 12) + " SELECT id, round(s, 9) AS score FROM x12")
 def pagerank(spark, d):
-    return I.pagerank(G.copurchase_all(spark, d).kept(), rounds=8)
+    return I.pagerank(G.copurchase_all(spark, d).kept())
 
 
-@query(COPART + _rounds("SELECT id, 0.0 AS s FROM v", "SELECT v.id AS id, 0.01 * coalesce(g.s, 0) + 1.0 AS s FROM v LEFT JOIN (SELECT e.src id, sum({p}.s) s FROM e JOIN {p} ON {p}.id = e.dst GROUP BY 1) g ON g.id = v.id", 8) + " SELECT id, round(s / (SELECT sqrt(sum(s * s)) FROM x8), 9) AS score FROM x8")
+@query(COPART_ALL + _until("SELECT id, 0.0::DOUBLE AS s FROM v", "SELECT v.id AS id, 0.001 * coalesce(g.s, 0) + 1.0 AS s FROM v LEFT JOIN (SELECT e.src id, sum({p}.s) s FROM e JOIN {p} ON {p}.id = e.dst GROUP BY 1) g ON g.id = v.id", 16) + " SELECT id, round(s / (SELECT sqrt(sum(s * s)) FROM x16), 9) AS score FROM x16")
 def katz(spark, d):
-    return I.katz(G.copurchase(spark, d).kept(), rounds=8)
+    """A smaller alpha than the default, since the series only converges below the inverse of the largest eigenvalue (over 100 here)."""
+    return I.katz(G.copurchase_all(spark, d).kept(), alpha=0.001)
 
 
-@query(COPART + _rounds("SELECT id, 1.0 / (SELECT count(*) FROM v) AS s FROM v", "SELECT id, s / (SELECT sqrt(sum(s * s)) FROM (SELECT x.s + coalesce(g.s, 0) s FROM {p} x LEFT JOIN (SELECT e.src id, sum({p}.s) s FROM e JOIN {p} ON {p}.id = e.dst GROUP BY 1) g ON g.id = x.id)) AS s FROM (SELECT x.id id, x.s + coalesce(g.s, 0) s FROM {p} x LEFT JOIN (SELECT e.src id, sum({p}.s) s FROM e JOIN {p} ON {p}.id = e.dst GROUP BY 1) g ON g.id = x.id)", 5) + " SELECT id, round(s, 9) AS score FROM x5")
+@query(COPART_ALL + _until("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS s FROM v", "SELECT id, s / sqrt(sum(s * s) OVER ()) AS s FROM (SELECT x.id id, x.s + coalesce(g.s, 0) s FROM {p} x LEFT JOIN (SELECT e.src id, sum({p}.s) s FROM e JOIN {p} ON {p}.id = e.dst GROUP BY 1) g ON g.id = x.id)", 20) + " SELECT id, round(s, 9) AS score FROM x20")
 def eigenvector_centrality(spark, d):
-    return I.eigenvector_centrality(G.copurchase(spark, d).kept(), rounds=5)
+    return I.eigenvector_centrality(G.copurchase_all(spark, d).kept())
 
 
-@query(COPART + _rounds("SELECT id, CAST(0 AS BIGINT) c FROM v", "SELECT id, dense_rank() OVER (ORDER BY c, l) c FROM (SELECT x.id id, x.c c, list_sort(list(y.c)) l FROM {p} x LEFT JOIN e ON e.src = x.id LEFT JOIN {p} y ON y.id = e.dst GROUP BY x.id, x.c)", 6) + " SELECT id, min(id) OVER (PARTITION BY c) AS class FROM x6")
+@query(COPART + _rounds("SELECT id, CAST(0 AS BIGINT) c FROM v", "SELECT id, dense_rank() OVER (ORDER BY c, l) c FROM (SELECT x.id id, x.c c, list_sort(list(y.c)) l FROM {p} x LEFT JOIN e ON e.src = x.id LEFT JOIN {p} y ON y.id = e.dst GROUP BY x.id, x.c)", 16).replace(" AS (SELECT id, ", " AS MATERIALIZED (SELECT id, ") + " SELECT id, min(id) OVER (PARTITION BY c) AS class FROM x16")
 def wl_coloring(spark, d):
-    return I.wl_coloring(G.copurchase(spark, d).kept(), most=6)
+    return I.wl_coloring(G.copurchase(spark, d).kept())
 
 
 @query(COPART + """, h(src, id, depth) AS (SELECT id, id, 0 FROM v UNION SELECT h.src, e.dst, depth + 1 FROM h JOIN e ON e.src = h.id WHERE depth < 24), m AS (SELECT src, id, min(depth) depth FROM h GROUP BY 1, 2),
@@ -347,7 +356,7 @@ def wu_palmer(spark, d):
     return T.wu_palmer_tree(g, 0, pairs).select("a", "b", F.round("wu_palmer", 9).alias("wu_palmer"))
 
 
-SIM = """WITH s AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) n, l_partkey p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 48),
+SIM = """WITH s AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) n, l_partkey p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 z AS (SELECT n, count(*) k FROM s GROUP BY n), x AS (SELECT a.n a, b.n b, count(*) c FROM s a JOIN s b ON a.p = b.p AND a.n < b.n GROUP BY 1, 2),
 t AS (SELECT x.a a, x.b b, CAST(c AS DOUBLE) c, CAST(i.k AS DOUBLE) m, CAST(j.k AS DOUBLE) n FROM x JOIN z i ON i.n = a JOIN z j ON j.n = b)
 """
@@ -357,8 +366,8 @@ t AS (SELECT x.a a, x.b b, CAST(c AS DOUBLE) c, CAST(i.k AS DOUBLE) m, CAST(j.k
 round(c / (c + 0.3 * (m - c) + 0.7 * (n - c)), 9) AS tversky, round((c / m + c / n) / 2, 9) AS kulczynski, round(c / greatest(m, n), 9) AS braun_blanquet, round(c / (2 * (m + n) - 3 * c), 9) AS sokal_sneath,
 round((c * (m + n) - m * n) / (m * n), 9) AS mcconnaughey, round(c * c / (m * n), 9) AS johnson FROM t""")
 def set_similarities(spark, d):
-    """All ten measures between the part sets that the suppliers of two nations deliver in large lots."""
-    li = G.table(spark, d, "lineitem").where("l_quantity >= 48")
+    """All ten measures between the part sets that the suppliers of two nations deliver."""
+    li = G.table(spark, d, "lineitem")
     s = li.join(G.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").cast("long").alias("n"), F.col("l_partkey").alias("p")).distinct()
     k = s.groupBy("n").agg(F.count("*").cast("double").alias("k"))
     x = s.select(F.col("n").alias("a"), "p").join(s.select(F.col("n").alias("b"), "p"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("c"))

@@ -27,6 +27,20 @@ def copurchase_all(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.build(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), e)
 
 
+def partners(spark: SparkSession, sf_dir: str) -> Graph:
+    """Part -> the part that it is most often bought together with over all lines (ties: the smallest id); weight = orders."""
+    g = copurchase_all(spark, sf_dir)
+    best = g.edges.groupBy("src").agg(F.max(F.struct("weight", (-F.col("dst")).alias("dst"))).alias("m"))
+    return Graph.build(g.vertices, best.select("src", (-F.col("m.dst")).alias("dst"), F.col("m.weight").alias("weight")), directed=True)
+
+
+def same_region(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations of one region."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("r"))
+    e = n.withColumnRenamed("id", "src").join(n.withColumnRenamed("id", "dst"), "r").where("src < dst").select("src", "dst")
+    return Graph.build(n.select("id"), e)
+
+
 def geography(spark: SparkSession, sf_dir: str) -> Graph:
     """The tree root (0) -> regions (1 + key) -> nations (100 + key) -> suppliers (10^6 + key) and customers (10^9 + key)."""
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
