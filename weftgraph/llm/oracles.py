@@ -54,4 +54,31 @@ def _secrets() -> str:
     )
 
 
-SQL = {"op3_warc": WARC, "op4_near_dedup": NEAR, "op6_secret_scan": _secrets()}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+SEARCH = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () r, CAST(vec_id AS BIGINT) vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.r, q.vec_id query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) k FROM s) WHERE k <= 20"""
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and exact floored means, written out."""
+    at = lambda n: f"a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) c, min(d) d FROM (SELECT v.r, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) d FROM v, c{n} c) GROUP BY r)"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () r, CAST(vec_id AS BIGINT) vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 c, v FROM v) WHERE c < {k})",
+        at(0),
+    ]
+    for n in range(1, rounds + 1):
+        parts += [
+            f"m{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) v FROM (SELECT c, i, sum(v[i]) s, count(*) n FROM (SELECT a.c, v.v, unnest(range(1, 65)) i FROM a{n - 1} a JOIN v ON v.r = a.r) GROUP BY c, i) GROUP BY c)",
+            f"c{n} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) v FROM c{n - 1} o LEFT JOIN m{n} m USING (c))",
+            at(n),
+        ]
+    return (
+        "WITH " + ", ".join(parts) + f" SELECT v.vec_id AS vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM v JOIN a{rounds} a ON a.r = v.r JOIN c{rounds} c ON c.c = a.c"
+    )
+
+
+SQL = {"op11_impact_search": SEARCH, "op13_centroid_clusters": _clusters(), "op3_warc": WARC, "op4_near_dedup": NEAR, "op6_secret_scan": _secrets()}
