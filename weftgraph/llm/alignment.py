@@ -22,7 +22,7 @@ from weftgraph.runtime import materialize, ship_package
 #: Fixed value: how byte-level BPE of this kind parts a text before it merges.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text of a block, whose distinct segments are encoded once.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Bytes from which a segment goes to the tokenizer of the vocabulary file itself, which is safe on long runs.
 LONG = 2000
 _B_SPAN = 1 << 20
@@ -132,6 +132,15 @@ def align_tokens(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.n
     return group_a, group_b, i, j[i]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Small numbers as 32 bits, all low bytes first: the high ones are almost all 0 and take no room once compressed."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def align_block(t: Tokens, ids: pa.Array, texts: pa.Array, block: int) -> pa.RecordBatch:
     """A row for each text (its numbers, and its segments by number), and one for the block's segments and id pairs."""
     d, off = K.text_bytes(pc.binary_join_element_wise(*(pa.scalar(" ", pa.large_string()), texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))))
@@ -145,19 +154,22 @@ def align_block(t: Tokens, ids: pa.Array, texts: pa.Array, block: int) -> pa.Rec
     start = segment_starts(d, off)
     bounds = np.append(start, len(d)).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(d)]).dictionary_encode()
-    seg = coded.indices.to_numpy().astype(np.int64)
+    often = np.argsort(-np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)), kind="stable")
+    number = np.empty(len(often), np.int64)
+    number[often] = np.arange(len(often))
+    seg = number[coded.indices.to_numpy()]  # frequent segments have low numbers, whose high bytes compress
     first = np.searchsorted(start, off)  # first segment of each text
-    raw = coded.dictionary.to_pylist()
+    raw = coded.dictionary.take(pa.array(often)).to_pylist()
+    del coded
     shown = [s.decode(errors="replace") for s in raw]
     ids_a, ids_b = t.encode_a(shown), t.encode_b(shown)
     n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
     flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
-    same_a, same_b = b"".join(map(t.a_bytes.__getitem__, flat_a)), b"".join(map(t.b_bytes.__getitem__, flat_b))
-    joined = b"".join(raw)
-    ok = np.ones(len(raw), bool)
-    if same_a != joined or same_b != joined:
+    ok, joined = np.ones(len(raw), bool), b"".join(raw)
+    if any(b"".join(map(x.__getitem__, flat)) != joined for x, flat in ((t.a_bytes, flat_a), (t.b_bytes, flat_b))):
         for i, s in enumerate(raw):
             ok[i] = b"".join(map(t.a_bytes.__getitem__, ids_a[i])) == s == b"".join(map(t.b_bytes.__getitem__, ids_b[i]))
+    del ids_a, ids_b, shown, joined
     keep_a, keep_b = np.repeat(ok, n_a), np.repeat(ok, n_b)
     flat_a, flat_b, n_a, n_b = flat_a[keep_a], flat_b[keep_b], n_a * ok, n_b * ok
     group_a, group_b, i, j = align_tokens(np.cumsum(t.a_size[flat_a]), np.cumsum(t.b_size[flat_b]))
@@ -184,14 +196,13 @@ def align_block(t: Tokens, ids: pa.Array, texts: pa.Array, block: int) -> pa.Rec
     whole = by_seg.take(pa.array(seg))
     text, ends = (memoryview(whole.buffers()[2]) if len(whole) and whole.buffers()[2] else memoryview(b"")), (np.frombuffer(whole.buffers()[1], np.int64)[: len(whole) + 1] if len(whole) else np.zeros(1, np.int64))[first]
     digests = [hashlib.sha256(text[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    small = seg.astype("<i4").tobytes()
     n = len(texts)
     with_block = lambda x, kind, one: pa.array([*x, one], kind)
     cols = [
         pa.array([block] * (n + 1), pa.int64()), pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(1, pa.int64())]), *(with_block(sums(x), pa.int64(), None) for x in (n_a, n_b, n_groups, n_links)), with_block(digests, pa.string(), None),
-        with_block([small[4 * x : 4 * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary(), None),
+        with_block([_planes(seg[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary(), None),
         with_block([None] * n, pa.list_(pa.int64()), codes), with_block([None] * n, pa.list_(pa.int64()), counts),
-        with_block([None] * n, pa.binary(), np.append(0, np.cumsum(n_links)).astype("<i4").tobytes()), with_block([None] * n, pa.binary(), pair.astype("<i4").tobytes()),
+        with_block([None] * n, pa.binary(), _planes(np.append(0, np.cumsum(n_links)))), with_block([None] * n, pa.binary(), _planes(pair)),
     ]
     return pa.RecordBatch.from_arrays(cols, _ALIGNED.names)
 
@@ -257,9 +268,9 @@ def _scored(t: pa.Table) -> pa.RecordBatch:
     docs = t.filter(pc.is_valid(t.column("segments")))
     order = np.argsort(pairs.column("pos").to_numpy())
     n, best = (pairs.column(c).to_numpy()[order].astype(np.int64) for c in ("n", "best"))
-    first, pair = (np.frombuffer(block.column(c)[0].as_py(), "<i4").astype(np.int64) for c in ("link_first", "link_pair"))
+    first, pair = (_numbers(block.column(c)[0].as_py()).astype(np.int64) for c in ("link_first", "link_pair"))
     by_seg = [np.diff(np.concatenate([[0], np.cumsum(x[pair])])[first]) for x in (best, n)]
-    held = [np.frombuffer(s, "<i4") for s in docs.column("segments").to_pylist()]
+    held = [_numbers(s) for s in docs.column("segments").to_pylist()]
     off = np.concatenate([[0], np.cumsum([len(s) for s in held], dtype=np.int64)])
     seg = np.concatenate([*held, np.zeros(0, np.int32)]).astype(np.int64)
     n_best, count_sum = (np.diff(np.concatenate([[0], np.cumsum(x[seg])])[off]) for x in by_seg)
