@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 from weftgraph.runtime import materialize, ship_package
 
 #: Vectors of a shard: what a task indexes and searches at once.
-SHARD = 4096
-#: Levels that a query's impacts are quantised to.
-LEVELS = 8
+SHARD = 8192
+#: Steps to which each dimension's impacts are quantised.
+STEPS = 64
+#: Where a query's levels end, as shares of its mean impact.
+BOUNDS = (2.5, 0.7, 0.4, 0.0)
+_MET = 2.0**-20
 #: Largest component, as an integer.
 LARGEST = 1 << 26
 
@@ -41,71 +44,71 @@ def _padded(lists: pa.Array, dims: int | None = None) -> np.ndarray:
 
 
 class Shard:
-    """Postings of a block of vectors: for each dimension its non-zero entries in order of impact, lowest first.
+    """Postings of a block of vectors: for each dimension its non-zero entries, those of the highest impact first.
 
-    A posting is a row number; its impact, the component itself, stands in a parallel array.
+    A posting is a row number; its impact, the component itself, stands in a parallel array and counts by its size, as a weight of
+    either sign may meet it. Sizes are quantised to ``STEPS`` even steps a dimension, whose segments are found by number.
     """
 
     def __init__(self, rid: np.ndarray, ids: list, v: np.ndarray):
-        self.rid, self.ids, self.v = rid, ids, v
+        self.rid, self.ids, self.v, self.float = rid, ids, v, v.astype(np.float64)
         n, d = v.shape
         row, dim = np.nonzero(v)
-        order = np.lexsort((row, v[row, dim], dim))
-        self.row = row[order].astype(np.int32)
-        self.impact = v[row, dim][order]
-        self.first = np.searchsorted(dim[order], np.arange(d + 1))
+        order = np.lexsort((row, -np.abs(v[row, dim]), dim))
+        self.row, self.impact = row[order], v[row, dim][order].astype(np.float64)
+        first = np.searchsorted(dim[order], np.arange(d + 1))
+        self.high, self.mean = np.abs(v).max(0, initial=0), np.abs(v).mean(0) if n else np.zeros(d)
+        self.step = self.high // STEPS + 1
+        self.ends = np.zeros((d, STEPS + 1), np.int64)  # where the postings of size i * step or more end
+        for k in range(d):
+            lo, hi = first[k : k + 2]
+            self.ends[k] = lo + np.searchsorted(-np.abs(self.impact[lo:hi]), -self.step[k] * np.arange(STEPS + 1), "right")
+        self.first = first[:-1]
+        self.entries = np.count_nonzero(v, axis=1)
         #: order of rows by id, nulls last, for ties
         self.rank = np.empty(n, np.int64)
         self.rank[sorted(range(n), key=lambda i: (ids[i] is None, ids[i] or 0))] = np.arange(n)
-        self.most = int(np.abs(v).max(initial=0))
-        self.float = v.astype(np.float64)
+        self.most = int(self.high.max(initial=0))
+        self.rows, self.adds = np.empty(len(self.row), np.int64), np.empty(len(self.row))  # room for the postings of a level
 
     def best(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and scores of the k best rows but row id ``own``, best first, ties by id.
 
-        Segments go in order of descending quantised impact q_d * v. After each level, every entry not yet met adds less than the level's
-        bound, so a row scores at most what it has plus that bound for each entry left. The k-th best exact score among the leading
-        rows is a threshold; rows that cannot reach it are out for good. Once scoring all that still can costs no more than the
-        entries left, or none are left, these are scored exactly.
+        Segments go in order of descending quantised impact, the size of q_d * v. After each level, every entry not yet met adds less than the
+        level's bound, so a row scores at most what it has plus that bound for each entry left. The k-th best exact score among the
+        leading rows is a threshold; rows that cannot reach it are out for good. Once scoring all that still can costs no more than
+        the entries left, these rows are scored exactly.
         """
         n, dims = self.v.shape
         if n * len(q) == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self._wide(q):  # every row is a possible member
             return self._decide(np.arange(n), own, q, k)
-        live = [int(d) for d in np.flatnonzero(q) if self.first[d] < self.first[d + 1]]
-        ends = {d: (int(self.first[d]), int(self.first[d + 1])) for d in live}
-        tops = [int(q[d]) * int(self.impact[self.first[d + 1] - 1] if q[d] > 0 else self.impact[self.first[d]]) for d in live]
-        top = max(tops, default=0)
-        acc, met = np.zeros(n), np.zeros(n, np.int64)
-        entries = np.count_nonzero(self.v[:, live], axis=1) if live else np.zeros(n, np.int64)
-        left = sum(hi - lo for lo, hi in ends.values())
-        for level in range(LEVELS - 1, -1, -1):
-            bound = max(top * level // LEVELS, 1)  # impacts of at least this are taken; what is left adds less
-            rows, impacts = [], []
-            for d in live:
-                lo, hi = ends[d]
-                w = int(q[d])
-                if w > 0:  # the highest impacts lie at the end
-                    cut = lo + int(np.searchsorted(self.impact[lo:hi], -(-bound // w)))
-                    take, ends[d] = (cut, hi), (lo, cut)
-                else:
-                    cut = lo + int(np.searchsorted(self.impact[lo:hi], -bound // -w, "right"))
-                    take, ends[d] = (lo, cut), (cut, hi)
-                if take[0] < take[1]:
-                    rows.append(self.row[take[0] : take[1]])
-                    impacts.append(self.impact[take[0] : take[1]] * w)
-            if rows:
-                r = np.concatenate(rows)
-                left -= len(r)
-                acc += np.bincount(r, weights=np.concatenate(impacts), minlength=n)
-                met += np.bincount(r, minlength=n)
-            if level >= LEVELS // 2:
-                continue  # too early for a proof
-            upper = acc + (entries - met) * (bound - 1)
+        size = np.abs(q)
+        live = np.flatnonzero(size * self.high)
+        usual, weight = float(size @ self.mean) / dims, q.astype(np.float64)
+        taken, left = self.first, int((self.ends[live, 0] - self.first[live]).sum())
+        both = np.zeros(n)  # a row's sum so far, and 2^-20 for each entry met: exact, as sums stay below 2^32
+        for level in BOUNDS:
+            bound = max(int(usual * level), 1)
+            least = -(-bound // np.maximum(size, 1))  # size of component that reaches the bound
+            need = np.where(size > 0, self.ends[np.arange(dims), np.minimum(least // self.step, STEPS)], self.first)
+            m = 0
+            for d, lo, hi, w in zip(live.tolist(), taken[live].tolist(), need[live].tolist(), weight[live].tolist()):
+                if lo < hi:
+                    self.rows[m : m + hi - lo] = self.row[lo:hi]
+                    np.multiply(self.impact[lo:hi], w, out=self.adds[m : m + hi - lo])
+                    m += hi - lo
+            taken = need
+            if m:
+                left -= m
+                self.adds[:m] += _MET
+                both += np.bincount(self.rows[:m], weights=self.adds[:m], minlength=n)
+            acc = np.floor(both)
             lead = np.argpartition(acc, max(n - k - 1, 0))[max(n - k - 1, 0) :]
             exact = np.sort(self._scores(lead, q)[self.rid[lead] != own])[::-1]
-            possible = np.flatnonzero(upper >= exact[k - 1]) if len(exact) >= k else np.arange(n)
+            unmet = self.entries - (both - acc) * (1 / _MET)
+            possible = np.flatnonzero(acc + unmet * (bound - 1) >= exact[k - 1]) if len(exact) >= k else np.arange(n)
             if len(possible) * dims <= left or level == 0:
                 return self._decide(possible, own, q, k)
         raise AssertionError
@@ -114,8 +117,8 @@ class Shard:
         return self.v[rows] @ q if self._wide(q) else (self.float[rows] @ q.astype(np.float64)).astype(np.int64)
 
     def _wide(self, q: np.ndarray) -> bool:
-        """Whether float64 sums might not be exact."""
-        return self.most * int(np.abs(q).max(initial=0)) * len(q) >= 1 << 53
+        """Whether scores might reach 2^32, beyond which sums and counts do not share a float64."""
+        return self.most * int(np.abs(q).max(initial=0)) * len(q) >= 1 << 32
 
     def _decide(self, rows: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[self.rid[rows] != own]
