@@ -75,3 +75,36 @@ def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ev = table(spark, sf_dir, "events").withColumn("dst", F.lead("event_type").over(w)).where("dst is not null")
     return ev.groupBy(F.col("event_type").alias("src"), "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bipartite (src = customer, dst = part): the two parts that a customer orders most of (ties: the smaller part)."""
+    from pyspark.sql.window import Window
+
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    q = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("q"))
+    return q.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("q"), "dst"))).where("k <= 2").select("src", "dst")
+
+
+def region_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer region -> supplier region, weight = the smallest extended price between them."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("r"))
+    e = trade(spark, sf_dir).edges
+    e = e.join(n.select(F.col("id").alias("src"), F.col("r").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("r").alias("b")), "dst")
+    return e.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("weight").alias("weight"))
+
+
+def order_exchange(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Finished orders of each nation (id = key) against open ones (100 + key): edges(src, dst, capacity, cost), budgets and sides.
+
+    Budgets are the orders of the nation's customers; cost is 0 in the nation, 1 in its region, 2 beyond.
+    """
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("r"))
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    of = o.where("o_orderstatus in ('F', 'O')").join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").cast("long").alias("id"), "o_orderstatus").agg(F.count("*").alias("budget"))
+    color = F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).cast("long")
+    ends = of.join(n, "id").select((F.col("id") + 100 * color).alias("id"), F.col("id").alias("nation"), "r", color.alias("color"), "budget")
+    a, b = ends.where("color = 0").select(F.col("id").alias("src"), F.col("nation").alias("n1"), F.col("r").alias("r1"), F.col("budget").alias("b1")), ends.where("color = 1").select(F.col("id").alias("dst"), F.col("nation").alias("n2"), F.col("r").alias("r2"), F.col("budget").alias("b2"))
+    cost = F.when(F.col("n1") == F.col("n2"), 0).when(F.col("r1") == F.col("r2"), 1).otherwise(2)
+    edges = a.crossJoin(F.broadcast(b)).select("src", "dst", F.least("b1", "b2").alias("capacity"), cost.cast("long").alias("cost"))  # 25 x 25 nations
+    return edges, ends.select("id", "budget"), ends.select("id", "color")
