@@ -146,26 +146,26 @@ def vocabulary(spark, d):
 
 @query(COPART_ALL + "SELECT id, CAST(coalesce(s, 0) AS BIGINT) AS score FROM v LEFT JOIN (SELECT src, sum(degree) s FROM e JOIN d ON dst = id GROUP BY src) ON src = id")
 def second_order_degree(spark, d):
-    return A.second_order_degree(G.copurchase_all(spark, d))
+    return A.second_order_degree(G.copurchase_all(spark, d).kept())
 
 
 # -- motifs and products --------------------------------------------------------------------------------------------------
 @query(COPART_ALL + """, t AS (SELECT a.src id, count(*) / 2 t FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst JOIN e c ON c.src = a.dst AND c.dst = b.dst GROUP BY 1)
 SELECT d.id AS id, degree, CAST(coalesce(t, 0) AS BIGINT) AS triangles, round(CASE WHEN degree < 2 THEN 0.0 ELSE 2.0 * coalesce(t, 0) / (degree * (degree - 1)) END, 9) AS lcc FROM d LEFT JOIN t ON d.id = t.id""")
 def triangles_copart(spark, d):
-    return M.triangle_count(G.copurchase_all(spark, d))
+    return M.triangle_count(G.copurchase_all(spark, d).kept())
 
 
 @query(COPART_ALL + COMMON + "SELECT id, CAST(coalesce(s, 0) AS BIGINT) AS squares FROM v LEFT JOIN (SELECT src, sum(common * (common - 1) // 2) s FROM c GROUP BY src) ON src = id")
 def square_count(spark, d):
-    return M.square_count(G.copurchase_all(spark, d))
+    return M.square_count(G.copurchase_all(spark, d).kept())
 
 
 @query(COPART_ALL + COMMON + """, p AS (SELECT a.src id, c.common - 1 sq, greatest(du.degree - 1 - (c.common - 1) - (x.src IS NOT NULL)::INT, 0) + greatest(dw.degree - 1 - (c.common - 1) - (x.src IS NOT NULL)::INT, 0) room
 FROM e a JOIN e b ON a.src = b.src AND a.dst < b.dst JOIN c ON c.src = a.dst AND c.dst = b.dst JOIN d du ON du.id = a.dst JOIN d dw ON dw.id = b.dst LEFT JOIN e x ON x.src = a.dst AND x.dst = b.dst)
 SELECT v.id AS id, round(CASE WHEN coalesce(s.b, 0) > 0 THEN CAST(s.a AS DOUBLE) / s.b ELSE 0.0 END, 9) AS score FROM v LEFT JOIN (SELECT id, sum(sq) a, sum(sq + room) b FROM p GROUP BY id) s ON v.id = s.id""")
 def square_clustering(spark, d):
-    return M.square_clustering(G.copurchase_all(spark, d))
+    return M.square_clustering(G.copurchase_all(spark, d).kept())
 
 
 @query(COPART_ALL + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst")
@@ -175,12 +175,12 @@ def vf2_count_path3(spark, d):
 
 @query(COPART_ALL + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.src = b.src AND a.dst <> b.dst WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.src = a.dst AND x.dst = b.dst)")
 def vf2_count_path3_induced(spark, d):
-    return M.count_paths3(G.copurchase_all(spark, d), induced=True)
+    return M.count_paths3(G.copurchase_all(spark, d).kept(), induced=True)
 
 
 @query(COPART_ALL + "SELECT count(*) AS embeddings FROM e a JOIN e b ON a.dst = b.src AND a.src <> b.dst JOIN e c ON c.src = b.dst AND c.dst = a.src")
 def vf2_count_triangle(spark, d):
-    return M.count_triangle_embeddings(G.copurchase_all(spark, d))
+    return M.count_triangle_embeddings(G.copurchase_all(spark, d).kept())
 
 
 @query(COPART + ", u AS (SELECT src, dst FROM e WHERE src < dst) SELECT a.src AS a_src, a.dst AS a_dst, b.src AS b_src, b.dst AS b_dst FROM u a JOIN u b ON (a.src, a.dst) < (b.src, b.dst) AND (a.src IN (b.src, b.dst) OR a.dst IN (b.src, b.dst))")

@@ -156,7 +156,7 @@ def vf2_directed_triangle(spark, d):
 
 @query(COPART_ALL + "SELECT count(*) AS cliques FROM e a JOIN e b ON b.src = a.dst AND b.dst > a.dst JOIN e x ON x.src = a.src AND x.dst = b.dst JOIN e c ON c.src = b.dst AND c.dst > b.dst JOIN e y ON y.src = a.src AND y.dst = c.dst JOIN e z ON z.src = a.dst AND z.dst = c.dst WHERE a.src < a.dst")
 def cliques_of_four(spark, d):
-    return P.cliques(G.copurchase_all(spark, d), 4).agg(F.count("*").alias("cliques"))
+    return P.cliques(G.copurchase_all(spark, d).kept(), 4).agg(F.count("*").alias("cliques"))
 
 
 @query()
