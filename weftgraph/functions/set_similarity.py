@@ -53,3 +53,21 @@ def mcconnaughey(c: Column, a: Column, b: Column) -> Column:
 def johnson(c: Column, a: Column, b: Column) -> Column:
     """Product form over the summed sizes of the two graphs: common squared over the product of sizes."""
     return _ratio(c.cast("double") * c, a * b)
+
+
+#: Measures that take a common size and the sizes of both sides.
+MEASURES = {"jaccard": tanimoto, "dice": dice, "overlap": overlap, "cosine": cosine, "kulczynski": kulczynski, "braun_blanquet": braun_blanquet, "sokal_sneath": sokal_sneath, "mcconnaughey": mcconnaughey}
+
+
+def graph_similarities(alpha: float = 1.0, beta: float = 1.0) -> dict[str, Column]:
+    """Similarities of two graphs as columns, for ``withColumns``, from six counters: common_edges, common_vertices, and edges and vertices of either (first_edges, second_edges, first_vertices, second_vertices).
+
+    Each measure counts edges or vertices; Tversky's weighs what only one graph has by ``alpha`` and ``beta``; johnson is over vertices and edges together.
+    """
+    out = {}
+    for part in ("edge", "vertex"):
+        many = "edges" if part == "edge" else "vertices"
+        c, a, b = (F.col(f"{x}_{many}") for x in ("common", "first", "second"))
+        out |= {f"{part}_{name}": f(c, a, b) for name, f in MEASURES.items()} | {f"{part}_tversky": tversky(c, a, b, alpha, beta)}
+    total = [F.col(f"{x}_edges") + F.col(f"{x}_vertices") for x in ("common", "first", "second")]
+    return out | {"johnson": johnson(*total)}

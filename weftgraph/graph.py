@@ -65,6 +65,33 @@ class Graph:
         return Graph(vocab.select("id"), e, self.directed), vocab
 
 
+@dataclass(frozen=True)
+class Bigraph:
+    """Two vocabularies ``left`` and ``right``(id, symbol), ids 0.. on each side, and ``edges(src, dst, weight)`` from left ids to right ids."""
+
+    left: DataFrame
+    right: DataFrame
+    edges: DataFrame
+
+    @staticmethod
+    def build(left: DataFrame, right: DataFrame, edges: DataFrame, ignore_duplicates: bool = False) -> Bigraph:
+        """From left(symbol), right(symbol) and edges(src, dst[, weight]) of symbols; repeated symbols count once.
+
+        Edges with an end outside its vocabulary, and repeated edges unless ``ignore_duplicates`` (the smallest weight stays), are errors.
+        """
+        if "weight" not in edges.columns:
+            edges = edges.withColumn("weight", F.lit(1.0))
+        sides = [materialize(dense_ids(x.select("symbol").where("symbol is not null")), "vocabulary") for x in (left, right)]
+        a, b = (v.select(F.col("symbol").alias(c), F.col("id").alias(f"i_{c}")) for v, c in zip(sides, ("src", "dst")))
+        e = materialize(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).join(a, "src", "left").join(b, "dst", "left").select(F.col("i_src").alias("src"), F.col("i_dst").alias("dst"), "weight"), "bigraph")
+        if not e.where("src is null or dst is null").isEmpty():
+            raise GraphError("an edge ends outside its vocabulary")
+        one = e.groupBy("src", "dst").agg(F.min("weight").alias("weight"), F.count("*").alias("n"))
+        if not ignore_duplicates and not one.where("n > 1").isEmpty():
+            raise GraphError("an edge is repeated")
+        return Bigraph(*sides, one.drop("n"))
+
+
 def dense_ids(symbols: DataFrame) -> DataFrame:
     """(id, symbol): the rank of each distinct symbol, from 0."""
     ordered = materialize(symbols.select("symbol").distinct().repartitionByRange("symbol").sortWithinPartitions("symbol").withColumn("part", F.spark_partition_id()), "symbols")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.graph import Graph
+from weftgraph.graph import Graph, GraphError
 from weftgraph.runtime import materialize
 
 
@@ -154,7 +154,10 @@ def degree_order(g: Graph, descending: bool = True) -> DataFrame:
 
 
 def applied_order(g: Graph, order: DataFrame) -> Graph:
-    """The same graph with each id replaced by its position in order(id, position)."""
+    """The same graph with each id replaced by its position in order(id, position), which must give each vertex one of 0..n-1."""
+    n, seen = g.vertices.count(), order.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("position").alias("at"), F.min("position").alias("lo"), F.max("position").alias("hi")).first()
+    if n and not (seen["n"] == seen["ids"] == seen["at"] == n and seen["lo"] == 0 and seen["hi"] == n - 1) or not n and seen["n"] or not g.vertices.join(order.select("id"), "id", "left_anti").isEmpty():
+        raise GraphError("the order is no permutation of the vertices")
     a, b = order.select(F.col("id").alias("src"), F.col("position").alias("s")), order.select(F.col("id").alias("dst"), F.col("position").alias("d"))
     e = g.edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
     return Graph(order.select(F.col("position").alias("id")), e, g.directed)
@@ -165,3 +168,43 @@ def dot_lines(g: Graph) -> DataFrame:
     arrow = " -> " if g.directed else " -- "
     e = g.edges if g.directed else g.edges.where("src <= dst")
     return e.select(F.concat(F.lit("  "), F.col("src").cast("string"), F.lit(arrow), F.col("dst").cast("string"), F.lit(";")).alias("line"))
+
+
+def dot_document(g: Graph, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
+    """(part, line): a whole DOT document; parts 0 to 3 are the head, nodes, edges and tail, in which order the lines belong.
+
+    With ``left``(id) and ``right``(id) the graph is bipartite: nodes and edge ends are written L<id> and R<id>, edges lead from src on the left to dst on the right.
+    """
+    spark = g.vertices.sparkSession
+    text = lambda part, line: spark.range(1).select(F.lit(part).alias("part"), F.lit(line).alias("line"))
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    if left is not None and right is not None:
+        nodes = left.select(name("L", "id").alias("n")).union(right.select(name("R", "id")))
+        edges = g.edges.select(F.concat(F.lit("  "), name("L", "src"), F.lit(" -- "), name("R", "dst"), F.lit(";")).alias("line"))
+        kind = "graph"
+    else:
+        nodes, edges, kind = g.vertices.select(F.col("id").cast("string").alias("n")), dot_lines(g), "digraph" if g.directed else "graph"
+    nodes = nodes.select(F.lit(1).alias("part"), F.concat(F.lit("  "), "n", F.lit(";")).alias("line"))
+    return text(0, kind + " {").union(nodes).union(edges.select(F.lit(2).alias("part"), "line")).union(text(3, "}"))
+
+
+def values_at(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """(src, dst, weight) for each of cells(src, dst); null where there is no entry."""
+    return cells.join(edges.select("src", "dst", "weight"), ["src", "dst"], "left").select("src", "dst", "weight")
+
+
+def column_rank_select(edges: DataFrame) -> DataFrame:
+    """(src, dst, column_rank): the entry's number within its column, from 0, in row order."""
+    return edges.select("src", "dst", (F.row_number().over(Window.partitionBy("dst").orderBy("src")) - 1).cast("long").alias("column_rank"))
+
+
+def entry_index(edges: DataFrame) -> DataFrame:
+    """(src, dst, position): the entry's number in row-major order of the whole matrix, from 0."""
+    return positions(edges.select("src", "dst"), F.col("src"), F.col("dst"))
+
+
+def lexicographic_order(first: DataFrame, second: DataFrame, descending: bool = True) -> DataFrame:
+    """(id, position): by one score(id, score), equal ones by another, then by id."""
+    both = first.select("id", F.col("score").alias("a")).join(second.select("id", F.col("score").alias("b")), "id")
+    by = [F.desc("a"), F.desc("b")] if descending else [F.asc("a"), F.asc("b")]
+    return positions(both, *by, F.asc("id")).select("id", "position")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, GraphError
-from weftgraph.operators.access import out_degree
+from weftgraph.operators.access import out_degree, positions
 from weftgraph.operators.components import star_components
 from weftgraph.runtime import materialize, materialize_with
 
@@ -148,7 +148,7 @@ def closeness(g: Graph, improved: bool = True, pairs: int = 1_000_000_000) -> Da
         s = sums if s is None else s.union(sums)
     r = F.col("r") - 1
     score = F.try_divide(r, F.col("d")) * (r / F.lit(max(n - 1, 1)) if improved else F.lit(1.0))
-    return s.select("id", F.round(F.when(F.col("d") > 0, score).otherwise(0.0), 9).alias("score"))
+    return s.select("id", F.round(F.when(F.col("d") > 0, score).otherwise(0.0), 12).alias("score"))
 
 
 def bipartite_coloring(g: Graph) -> DataFrame:
@@ -195,6 +195,11 @@ def kahn_layers(g: Graph) -> DataFrame:
     return out
 
 
+def kahn_order(g: Graph) -> DataFrame:
+    """(id, position): a topological order of a DAG: by layer, then by id."""
+    return positions(kahn_layers(g), F.col("layer"), F.col("id")).select("id", "position")
+
+
 def has_cycle(g: Graph) -> DataFrame:
     """Whether a directed cycle (or a loop) exists; an undirected edge stored both ways is one."""
     try:
@@ -291,11 +296,20 @@ def pagerank(g: Graph, alpha: float = 0.85, rounds: int | None = None, most: int
     else:
         if rounds is None:
             raise GraphError("PageRank did not converge")
-    return cur.select("id", F.round("score", 9).alias("score"))
+    return cur.select("id", F.round("score", 12).alias("score"))
+
 
+def safe_katz_alpha(g: Graph) -> float:
+    """0.9 over the largest degree, below which ``katz`` converges on undirected graphs; 0.1 without edges."""
+    most = out_degree(g).agg(F.max("degree")).first()[0]
+    return 0.9 / most if most else 0.1
 
-def katz(g: Graph, alpha: float = 0.01, beta: float = 1.0, rounds: int | None = None, most: int = 1000, tolerance: float = 1e-6) -> DataFrame:
-    """x = alpha A x + beta from 0, unit length at the end. Rounds and errors as in ``pagerank``."""
+
+def katz(g: Graph, alpha: float = 0.1, beta: float = 1.0, rounds: int | None = None, most: int = 1000, tolerance: float = 1e-6, normalized: bool = True) -> DataFrame:
+    """x = alpha A x + beta from 0, of unit length at the end if ``normalized``. Rounds and errors as in ``pagerank``.
+
+    The series converges below the inverse of the largest eigenvalue; ``safe_katz_alpha`` is below it.
+    """
     n = g.vertices.count()
     cur, facts = g.vertices.select("id", F.lit(0.0).alias("score")), {"square": 0.0}
     for _ in range(most if rounds is None else rounds):
@@ -308,8 +322,8 @@ def katz(g: Graph, alpha: float = 0.01, beta: float = 1.0, rounds: int | None =
     else:
         if rounds is None:
             raise GraphError("Katz centrality did not converge")
-    norm = math.sqrt(facts["square"] or 0.0) or 1.0
-    return cur.select("id", F.round(F.col("score") / norm, 9).alias("score"))
+    norm = (math.sqrt(facts["square"] or 0.0) or 1.0) if normalized else 1.0
+    return cur.select("id", F.round(F.col("score") / norm, 12).alias("score"))
 
 
 def eigenvector_centrality(g: Graph, rounds: int | None = None, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
@@ -331,7 +345,7 @@ def eigenvector_centrality(g: Graph, rounds: int | None = None, most: int = 100,
     else:
         if rounds is None:
             raise GraphError("eigenvector centrality did not converge")
-    return cur.select("id", F.round("score", 9).alias("score"))
+    return cur.select("id", F.round("score", 12).alias("score"))
 
 
 def wl_coloring(g: Graph, most: int | None = None) -> DataFrame:
@@ -383,4 +397,4 @@ def betweenness(g: Graph) -> DataFrame:
     if total is None:
         return g.vertices.select("id", F.lit(0.0).alias("score"))
     s = total.groupBy("id").agg(F.sum("delta").alias("d"))
-    return g.vertices.join(s, "id", "left").select("id", F.round(F.coalesce(F.col("d") / 2, F.lit(0.0)), 6).alias("score"))
+    return g.vertices.join(s, "id", "left").select("id", F.round(F.coalesce(F.col("d") / 2, F.lit(0.0)), 12).alias("score"))

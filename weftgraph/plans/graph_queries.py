@@ -28,6 +28,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _rounded(scores, digits: int):
+    """Scores to the digits at which sums taken in another order agree."""
+    return scores.withColumn("score", F.round("score", digits))
+
+
 # -- the graphs in SQL ------------------------------------------------------------------------------------------------
 COPART = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey o, l_partkey p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40),
 e AS (SELECT a.p src, b.p dst, CAST(count(*) AS DOUBLE) weight FROM l a JOIN l b ON a.o = b.o AND a.p <> b.p GROUP BY 1, 2),
@@ -275,7 +280,7 @@ def diameter(spark, d):
 @query(APART + "SELECT src AS id, round((count(*) - 1) / CAST(sum(depth) AS DOUBLE) * ((count(*) - 1) / CAST((SELECT count(*) - 1 FROM v) AS DOUBLE)), 9) AS score FROM m GROUP BY src")
 def closeness(spark, d):
     g = G.geography(spark, d)
-    return I.closeness(Graph.build(g.vertices, g.edges).kept())
+    return _rounded(I.closeness(Graph.build(g.vertices, g.edges).kept()), 9)
 
 
 @query(COPART + _rounds("SELECT id, CAST(degree AS BIGINT) c FROM d", "SELECT v.id id, coalesce(h, 0) c FROM v LEFT JOIN (SELECT id, max(least(rn, c)) h FROM (SELECT e.src id, {p}.c c, row_number() OVER (PARTITION BY e.src ORDER BY {p}.c DESC) rn FROM e JOIN {p} ON {p}.id = e.dst) GROUP BY id) ON id = v.id".replace("ON id = v.id", "y ON y.id = v.id"), 8) + " SELECT id, CAST(c AS BIGINT) AS core FROM x8")
@@ -292,18 +297,18 @@ def _until(start: str, step: str, n: int) -> str:
 
 @query(COPART_ALL + ", n AS (SELECT count(*) n FROM v)" + _until("SELECT id, 1.0::DOUBLE / (SELECT n FROM n) AS s FROM v", "SELECT d.id AS id, 0.15 / (SELECT n FROM n) + 0.85 * (SELECT coalesce(sum(s), 0) FROM {p} JOIN d d0 ON {p}.id = d0.id WHERE d0.degree = 0) / (SELECT n FROM n) + 0.85 * coalesce(g.s, 0) AS s FROM d LEFT JOIN (SELECT e.dst id, sum({p}.s / d1.degree) s FROM e JOIN {p} ON {p}.id = e.src JOIN d d1 ON d1.id = e.src GROUP BY 1) g ON g.id = d.id", 12) + " SELECT id, round(s, 9) AS score FROM x12")
 def pagerank(spark, d):
-    return I.pagerank(G.copurchase_all(spark, d).kept())
+    return _rounded(I.pagerank(G.copurchase_all(spark, d).kept()), 9)
 
 
 @query(COPART_ALL + _until("SELECT id, 0.0::DOUBLE AS s FROM v", "SELECT v.id AS id, 0.001 * coalesce(g.s, 0) + 1.0 AS s FROM v LEFT JOIN (SELECT e.src id, sum({p}.s) s FROM e JOIN {p} ON {p}.id = e.dst GROUP BY 1) g ON g.id = v.id", 16) + " SELECT id, round(s / (SELECT sqrt(sum(s * s)) FROM x16), 9) AS score FROM x16")
 def katz(spark, d):
-    """A smaller alpha than the default, since the series only converges below the inverse of the largest eigenvalue (over 100 here)."""
-    return I.katz(G.copurchase_all(spark, d).kept(), alpha=0.001)
+    """A smaller alpha than the default 0.1, since the series only converges below the inverse of the largest eigenvalue (over 100 here)."""
+    return _rounded(I.katz(G.copurchase_all(spark, d).kept(), alpha=0.001), 9)
 
 
 @query(COPART_ALL + _until("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS s FROM v", "SELECT id, s / sqrt(sum(s * s) OVER ()) AS s FROM (SELECT x.id id, x.s + coalesce(g.s, 0) s FROM {p} x LEFT JOIN (SELECT e.src id, sum({p}.s) s FROM e JOIN {p} ON {p}.id = e.dst GROUP BY 1) g ON g.id = x.id)", 20) + " SELECT id, round(s, 9) AS score FROM x20")
 def eigenvector_centrality(spark, d):
-    return I.eigenvector_centrality(G.copurchase_all(spark, d).kept())
+    return _rounded(I.eigenvector_centrality(G.copurchase_all(spark, d).kept()), 9)
 
 
 @query(COPART + _rounds("SELECT id, CAST(0 AS BIGINT) c FROM v", "SELECT id, dense_rank() OVER (ORDER BY c, l) c FROM (SELECT x.id id, x.c c, list_sort(list(y.c)) l FROM {p} x LEFT JOIN e ON e.src = x.id LEFT JOIN {p} y ON y.id = e.dst GROUP BY x.id, x.c)", 16).replace(" AS (SELECT id, ", " AS MATERIALIZED (SELECT id, ") + " SELECT id, min(id) OVER (PARTITION BY c) AS class FROM x16")
@@ -316,7 +321,7 @@ p(src, id, depth) AS (SELECT id, id, 0 FROM v UNION ALL SELECT p.src, e.dst, p.d
 b AS (SELECT x.id id, sum(x.n * y.n / z.n) / 2 w FROM s x JOIN s y ON y.src = x.id JOIN s z ON z.src = x.src AND z.id = y.id AND z.depth = x.depth + y.depth WHERE x.id <> x.src AND x.id <> y.id GROUP BY 1)
 SELECT v.id AS id, round(coalesce(w, 0.0), 6) AS score FROM v LEFT JOIN b ON b.id = v.id""")
 def betweenness(spark, d):
-    return I.betweenness(G.copurchase(spark, d).kept())
+    return _rounded(I.betweenness(G.copurchase(spark, d).kept()), 6)
 
 
 # -- semantic and set similarity --------------------------------------------------------------------------------------------
