@@ -79,9 +79,9 @@ def degree(spark, d):
     return A.out_degree(G.copurchase_all(spark, d))
 
 
-@query(COPART + "SELECT id FROM d WHERE degree = 0")
+@query(COPART_ALL + "SELECT id FROM d WHERE degree = 0")
 def empty_rows(spark, d):
-    return A.empty_rows(G.copurchase(spark, d))
+    return A.empty_rows(G.copurchase_all(spark, d))
 
 
 @query(GEO + "SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)")
@@ -94,9 +94,9 @@ def sink_nodes(spark, d):
     return A.sink_nodes(G.geography(spark, d))
 
 
-@query(COPART + "SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)")
+@query(COPART_ALL + "SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)")
 def singleton_nodes(spark, d):
-    return A.singleton_nodes(G.copurchase(spark, d))
+    return A.singleton_nodes(G.copurchase_all(spark, d))
 
 
 @query(TRADE + "SELECT count(*) AS self_loops FROM e WHERE src = dst")
@@ -139,9 +139,9 @@ def symmetrize(spark, d):
     return A.symmetrize(G.trade(spark, d).edges)
 
 
-@query(COPART + "SELECT CAST(0 AS BIGINT) AS src, id AS dst, coalesce(weight, 9.0) AS weight, weight IS NULL AS imputed FROM v LEFT JOIN (SELECT * FROM e WHERE src = 0) ON dst = id")
+@query(COPART_ALL + "SELECT CAST(0 AS BIGINT) AS src, id AS dst, coalesce(weight, 9.0) AS weight, weight IS NULL AS imputed FROM v LEFT JOIN (SELECT * FROM e WHERE src = 0) ON dst = id")
 def padded_row(spark, d):
-    return A.padded(G.copurchase(spark, d), 0, 9.0)
+    return A.padded(G.copurchase_all(spark, d), 0, 9.0)
 
 
 @query("SELECT row_number() OVER (ORDER BY symbol) - 1 AS id, symbol FROM (SELECT DISTINCT c_name AS symbol FROM customer)")
@@ -283,9 +283,9 @@ def closeness(spark, d):
     return _rounded(I.closeness(Graph.build(g.vertices, g.edges).kept()), 9)
 
 
-@query(COPART + _rounds("SELECT id, CAST(degree AS BIGINT) c FROM d", "SELECT v.id id, coalesce(h, 0) c FROM v LEFT JOIN (SELECT id, max(least(rn, c)) h FROM (SELECT e.src id, {p}.c c, row_number() OVER (PARTITION BY e.src ORDER BY {p}.c DESC) rn FROM e JOIN {p} ON {p}.id = e.dst) GROUP BY id) ON id = v.id".replace("ON id = v.id", "y ON y.id = v.id"), 8) + " SELECT id, CAST(c AS BIGINT) AS core FROM x8")
+@query(COPART_ALL + _rounds("SELECT id, CAST(degree AS BIGINT) c FROM d", "SELECT v.id id, coalesce(h, 0) c FROM v LEFT JOIN (SELECT id, max(least(rn, c)) h FROM (SELECT e.src id, {p}.c c, row_number() OVER (PARTITION BY e.src ORDER BY {p}.c DESC) rn FROM e JOIN {p} ON {p}.id = e.dst) GROUP BY id) ON id = v.id".replace("ON id = v.id", "y ON y.id = v.id"), 50).replace(" AS (SELECT v.id id", " AS MATERIALIZED (SELECT v.id id") + " SELECT id, CAST(c AS BIGINT) AS core FROM x50")
 def core_number(spark, d):
-    return I.core_numbers(G.copurchase(spark, d).kept())
+    return I.core_numbers(G.copurchase_all(spark, d).kept())
 
 
 def _until(start: str, step: str, n: int) -> str:
@@ -311,9 +311,9 @@ def eigenvector_centrality(spark, d):
     return _rounded(I.eigenvector_centrality(G.copurchase_all(spark, d).kept()), 9)
 
 
-@query(COPART + _rounds("SELECT id, CAST(0 AS BIGINT) c FROM v", "SELECT id, dense_rank() OVER (ORDER BY c, l) c FROM (SELECT x.id id, x.c c, list_sort(list(y.c)) l FROM {p} x LEFT JOIN e ON e.src = x.id LEFT JOIN {p} y ON y.id = e.dst GROUP BY x.id, x.c)", 16).replace(" AS (SELECT id, ", " AS MATERIALIZED (SELECT id, ") + " SELECT id, min(id) OVER (PARTITION BY c) AS class FROM x16")
+@query(COPART_ALL + _rounds("SELECT id, CAST(0 AS BIGINT) c FROM v", "SELECT id, dense_rank() OVER (ORDER BY c, l) c FROM (SELECT x.id id, x.c c, list_sort(list(y.c)) l FROM {p} x LEFT JOIN e ON e.src = x.id LEFT JOIN {p} y ON y.id = e.dst GROUP BY x.id, x.c)", 16).replace(" AS (SELECT id, ", " AS MATERIALIZED (SELECT id, ") + " SELECT id, min(id) OVER (PARTITION BY c) AS class FROM x16")
 def wl_coloring(spark, d):
-    return I.wl_coloring(G.copurchase(spark, d).kept())
+    return I.wl_coloring(G.copurchase_all(spark, d).kept())
 
 
 @query(COPART + """, h(src, id, depth) AS (SELECT id, id, 0 FROM v UNION SELECT h.src, e.dst, depth + 1 FROM h JOIN e ON e.src = h.id WHERE depth < 24), m AS (SELECT src, id, min(depth) depth FROM h GROUP BY 1, 2),

@@ -66,12 +66,12 @@ def is_simple_path_geography(spark, d):
 
 @query()
 def breadth_first_order(spark, d):
-    return P.breadth_first_order(G.copurchase(spark, d).kept())
+    return P.breadth_first_order(G.copurchase_all(spark, d).kept())
 
 
 @query()
 def degeneracy_order(spark, d):
-    return P.degeneracy_order(G.copurchase(spark, d))
+    return P.degeneracy_order(G.copurchase_all(spark, d))
 
 
 @query()

@@ -25,9 +25,9 @@ def predecessors(spark, d):
     return A.predecessors(G.trade(spark, d))
 
 
-@query(COPART + "SELECT id FROM v WHERE id IN (SELECT src FROM e)")
+@query(COPART_ALL + "SELECT id FROM v WHERE id IN (SELECT src FROM e)")
 def non_empty_rows(spark, d):
-    return A.non_empty_rows(G.copurchase(spark, d))
+    return A.non_empty_rows(G.copurchase_all(spark, d))
 
 
 @query(SUPP + "SELECT s_suppkey AS src, p_partkey AS dst, w.weight IS NOT NULL AS present FROM supplier CROSS JOIN part LEFT JOIN e w ON w.src = s_suppkey AND w.dst = p_partkey WHERE s_suppkey % 7 = p_partkey % 7")
@@ -49,9 +49,9 @@ def last_coordinates(spark, d):
     return A.last_coordinates(G.supplies(spark, d))
 
 
-@query(COPART + "SELECT greatest(max(weight), 0.0) AS max_weight, least(min(weight), 0.0) AS min_weight FROM e")
+@query(COPART_ALL + "SELECT greatest(max(weight), 0.0) AS max_weight, least(min(weight), 0.0) AS min_weight FROM e")
 def dense_extremes(spark, d):
-    return A.dense_extremes(G.copurchase(spark, d))
+    return A.dense_extremes(G.copurchase_all(spark, d))
 
 
 @query(COPART_ALL + "SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) - 1 AS position FROM d")
@@ -64,9 +64,9 @@ def degree_asc_order(spark, d):
     return A.degree_order(G.copurchase_all(spark, d), descending=False)
 
 
-@query(COPART + ", o AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) - 1 AS k FROM d) SELECT a.k AS src, b.k AS dst, weight FROM e JOIN o a ON a.id = src JOIN o b ON b.id = dst")
+@query(COPART_ALL + ", o AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) - 1 AS k FROM d) SELECT a.k AS src, b.k AS dst, weight FROM e JOIN o a ON a.id = src JOIN o b ON b.id = dst")
 def applied_order(spark, d):
-    g = G.copurchase(spark, d)
+    g = G.copurchase_all(spark, d)
     return A.applied_order(g, A.degree_order(g)).edges
 
 
@@ -177,12 +177,12 @@ def adjacent_product(spark, d):
     return P.adjacent_product(n.join(n.select(F.col("u").alias("v"), "k"), "k").select("u", "v"), g, g)
 
 
-@query(COPART + """, lab AS (SELECT p_partkey id, p_brand label FROM part), g AS (SELECT label, count(*) FILTER (WHERE id % 2 = 0) m, count(*) FILTER (WHERE id % 2 = 1) n FROM lab GROUP BY label),
+@query(COPART_ALL + """, lab AS (SELECT p_partkey id, p_brand label FROM part), g AS (SELECT label, count(*) FILTER (WHERE id % 2 = 0) m, count(*) FILTER (WHERE id % 2 = 1) n FROM lab GROUP BY label),
 h AS (SELECT least(a.label, b.label) p, greatest(a.label, b.label) q, count(*) FILTER (WHERE src % 2 = 0 AND dst % 2 = 0) m, count(*) FILTER (WHERE src % 2 = 1 AND dst % 2 = 1) n FROM e JOIN lab a ON a.id = src JOIN lab b ON b.id = dst WHERE src < dst GROUP BY 1, 2)
 SELECT (SELECT CAST(sum(least(m, n)) AS BIGINT) FROM g) AS common_vertices, (SELECT CAST(sum(least(m, n)) AS BIGINT) FROM h) AS common_edges""")
 def label_bounds(spark, d):
     """Between the co-purchase graphs of parts with even and with odd keys."""
-    g = G.copurchase(spark, d)
+    g = G.copurchase_all(spark, d)
     side = lambda k: Graph(g.vertices.where(f"id % 2 = {k}"), g.edges.where(f"src % 2 = {k} and dst % 2 = {k}"))
     return P.label_bounds(side(0), side(1), _brands(spark, d), _brands(spark, d))
 
@@ -196,12 +196,12 @@ def modularity(spark, d):
 
 @query()
 def louvain(spark, d):
-    return C.louvain(G.copurchase(spark, d).kept())
+    return C.louvain(G.copurchase_all(spark, d).kept())
 
 
 @query()
 def leiden(spark, d):
-    return C.leiden(G.copurchase(spark, d).kept())
+    return C.leiden(G.copurchase_all(spark, d).kept())
 
 
 # -- random and lattice graphs ------------------------------------------------------------------------------------------------
