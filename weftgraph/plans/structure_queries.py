@@ -159,7 +159,7 @@ def cliques_of_four(spark, d):
     return P.cliques(G.copurchase_all(spark, d).kept(), 4).agg(F.count("*").alias("cliques"))
 
 
-@query()
+@query(COPART + ", nb AS (SELECT src, list(dst) AS l FROM e GROUP BY src), q(m, z) AS (SELECT [id], id FROM v UNION ALL SELECT list_append(q.m, e.dst), e.dst FROM q JOIN e ON e.src = q.z AND e.dst > e.src JOIN nb ON nb.src = e.dst WHERE len(list_intersect(q.m, nb.l)) = len(q.m)) SELECT CAST(len(m) AS INTEGER) AS size, m AS members FROM q WHERE len(m) = (SELECT max(len(m)) FROM q)")
 def maximum_clique(spark, d):
     return P.maximum_cliques(G.copurchase(spark, d).kept())
 
