@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -195,6 +196,38 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_short_texts_that_share_a_phrase_take_no_pairs(spark):
+    """20,000 texts of 3 to 6 shingles with up to 3 in common: as brute force on pairs that a plain prefix names, within a time limit."""
+    g, rows = random.Random(9), []
+    for i in range(20000):
+        own = [f"v{g.randrange(10**9)}" for _ in range(g.randrange(1, 4))]
+        rows.append((i, " ".join((["terms", "of", "use", "apply"] if i % 2 else ["see", "below"]) + own)))
+    more = [f"line {i % 7} of a short note number {i % 11} goes on with w{i % 13}" for i in range(300)]
+    rows += [(20000 + i, t) for i, t in enumerate(more)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, 2, 80).collect()}
+    assert time.time() - began < 120
+    want = _plain_near(rows[20000:], 2, 80)
+    assert {i: got[i] for i in want} == want
+    assert all(got[i] == (len(t.split()) - 1, i) for i, t in rows[:20000])
+
+
+def test_sets_around_the_small_limit(spark):
+    """Sizes on both sides of the limit between the two ways of telling a bucket's members apart."""
+    g, rows = random.Random(12), []
+    for base in range(4):
+        words = [f"b{base}x{j}" for j in range(62 + 2 * base)]
+        for i in range(14):
+            some = words + [f"e{g.randrange(10**9)}" for _ in range(g.randrange(0, 16))]
+            for _ in range(g.randrange(0, 4)):
+                some[g.randrange(len(words))] = f"z{g.randrange(10**9)}"
+            rows.append((len(rows), " ".join(some)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, 2, 80).collect()}
+    assert got == _plain_near(rows, 2, 80)
+
+
 def test_groups_join_as_all_pairs_would():
     """Components of a group against brute force, whole and cut into chunks; groups with many and with few likely partners."""
     g = np.random.default_rng(5)
@@ -349,6 +382,13 @@ def test_places_equal_brute_force_over_all_substrings():
         assert tuple(int(x[0]) for x in got) == want
 
 
+def test_places_beyond_a_million_words():
+    g = np.random.default_rng(4)
+    text = g.integers(0, 1 << 40, (1 << 20) + 5010).astype(np.uint64)
+    item = text[(1 << 20) + 5000 : (1 << 20) + 5004]
+    assert [int(x[0]) for x in decontam.best_places(item[None], text[None], 1)] == [0, (1 << 20) + 5000, (1 << 20) + 5004]
+
+
 def test_benchmark_recall_at_the_most_edits_by_length():
     """Items with floor(0.2 n) mixed edits: at least 95 % of each length are found, and each span re-reads as its item."""
     g = random.Random(3)

@@ -53,7 +53,8 @@ def normal_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return h, keep[s] if len(s) else s, keep[e - 1] + 1 if len(e) else e, first, data, off
 
 
-_START = np.int64(1 << 20)
+#: A cost above a start: both are below 2^31, the bytes of a text.
+_START = np.int64(1 << 32)
 
 
 def best_places(items: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

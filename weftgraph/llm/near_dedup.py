@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
 from weftgraph.llm.common import bitmap, group_starts, map_batches, map_groups, marked
+from weftgraph.llm.paragraph_dedup import prefix_links
 from weftgraph.operators.components import star_components
 from weftgraph.runtime import materialize
 
@@ -16,6 +17,10 @@ BUCKETS, MANTISSA, BAND = 128, 10, 4
 _BITS = 57  # of a hash below its 7 bucket bits
 #: Shingles of a bucket that one task holds, twice at most; larger mixed buckets are compared chunk against chunk.
 CHUNK = 1 << 21
+#: Sets that a task holds of a bucket, likewise.
+CHUNK_ROWS = 4096
+#: Sets of up to so many shingles are told apart by their rarest shingles: few registers agree too easily.
+SMALL = 64
 #: A member with more likely partners than this counts its common shingles with all of them through one sorted list.
 FEW = 16
 
@@ -203,11 +208,11 @@ def join_group(comp: np.ndarray, n: np.ndarray, reg: np.ndarray, sets: list[np.n
 def _joined(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): components that links within a bucket join.
 
-    ``members(key, id, comp, n, reg, set, mass)`` of buckets that hold several components; ``mass``: shingles of the bucket.
-    Buckets beyond CHUNK are cut into chunks, and a task holds two of them. No pair is listed: a group
-    returns fewer rows than it has components.
+    ``members(key, id, comp, n, reg, set, mass, rows)`` of buckets that hold several components; ``mass``, ``rows``: shingles
+    and sets of the bucket. Buckets beyond CHUNK or CHUNK_ROWS are cut into chunks, and a task holds two of them. No pair is
+    listed: a group returns fewer rows than it has components.
     """
-    chunks = F.ceil(F.col("mass") / CHUNK).cast("int")
+    chunks = F.greatest(F.ceil(F.col("mass") / CHUNK), F.ceil(F.col("rows") / CHUNK_ROWS)).cast("int")
     m = members.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     m = m.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "comp", "n", "reg", "set")
@@ -238,12 +243,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Equal sets collapse to their smallest id first. Band buckets then link each member to the
     bucket's smallest id; links that hold on the full sets form components. Of buckets that still hold several
     components, all pairs of members of different components are looked at within a task (see ``join_group``), so no link of a
-    bucket that would join two components is missed, and no pairs are listed.
+    bucket that would join two components is missed, and no pairs are listed. Small sets have few different registers, so that one
+    common phrase fills a bucket: members of at most SMALL shingles, and those that may link with one, meet by their rarest
+    shingles instead (``prefix_links``), which misses none either. Sets too small to be that similar to any other are not banded.
     """
     sig = materialize(signatures(docs, k), "sig")
     live = sig.where("n > 0 and doc_id is not null")
     reps = materialize(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("reg").alias("reg")), "reps")
-    bands = _bands(reps)
+    bands = _bands(reps.where(F.col("n") * 100 >= (F.col("n") + 1) * percent))  # a different set of n shared shingles has n + 1
     buckets = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared = materialize(bands.join(buckets, "key"), "bands")
     # the registers of pairs are looked at once, whatever number of bands they share
@@ -258,9 +265,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # members of one bucket that are still apart: every likely pair of different components is decided once and for all
     comp = materialize(comp, "hub-components")
     placed = shared.where("size > 2").join(reps.select("id", "n", "reg"), "id").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("mass")).where("lo < hi").select("key", "mass")
-    members = placed.join(mixed, "key").select("key", "id", "comp", "n", "reg", "mass").join(sets, "id")
-    wide = star_components(_joined(members, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("component"), F.col("component").alias("wide"))
+    small = F.col("n") * percent <= SMALL * 100
+    apart = lambda rows: rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("mass"), F.count("*").alias("rows")).where("lo < hi").select("key", "mass", "rows")
+    big = placed.where(F.col("n") > SMALL)
+    members = big.join(apart(big), "key").select("key", "id", "comp", "n", "reg", "mass", "rows").join(sets, "id")
+    short = placed.where(small)
+    short = short.join(apart(short).select("key"), "key", "left_semi").select(F.col("id").alias("digest"), "comp").distinct().join(sets.withColumnRenamed("id", "digest"), "digest")
+    joined = _joined(members, percent).union(prefix_links(materialize(short, "short"), percent / 100))
+    wide = star_components(joined.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("component"), F.col("component").alias("wide"))
     # a component of one document has no row in comp yet
     alone = wide.join(comp.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), "component")
     comp = materialize(comp.union(alone).join(wide, "component", "left").select("id", F.coalesce("wide", "component").alias("component")), "components")

@@ -238,15 +238,19 @@ def _common(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _still_apart(pairs: DataFrame, comp: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): components of comp(id, component) that links within a bucket join; a paragraph without a component is its own.
-
-    The members of buckets that hold several components meet in groups by each of their rarest shingles
-    (see ``_rarest``), in which every pair of different components is compared on the full sets: no link is
-    missed. Groups beyond CHUNK are cut into chunks and compared chunk by chunk, two in a task at most.
-    """
+    """(a, b): components of comp(id, component) that links within a bucket join; a paragraph without a component is its own."""
     placed = pairs.select("key", F.col("b").alias("digest")).join(comp.withColumnRenamed("id", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = materialize(placed.join(mixed, "key", "left_semi").select("digest", "comp").distinct().join(sets, "digest"), "apart")
+    return prefix_links(materialize(placed.join(mixed, "key", "left_semi").select("digest", "comp").distinct().join(sets, "digest"), "apart"), similarity)
+
+
+def prefix_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the components of members(digest, comp, set), a written table, that links between members join.
+
+    Members meet in groups by each of their rarest shingles (see ``_rarest``), in which every pair of different
+    components is compared on the full sets: no link is missed. Groups beyond CHUNK are cut into chunks and
+    compared chunk by chunk, two in a task at most.
+    """
     shared = members.sparkSession.sparkContext.broadcast(_common(members))
 
     def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
