@@ -50,6 +50,36 @@ def test_quality_on_the_held_out_fold(spark):
     assert len(rows) > 50 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
 
 
+def test_lines_of_a_mixed_document_get_both_labels(spark):
+    """Line labels are latent: a block of junk lines amid ordinary ones is bad, and the lines around it stay good."""
+    from weftgraph.llm import kernels as K
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    g = np.random.default_rng(5)
+    prose = [" ".join(g.choice(["The", "of", "reading", "houses", "garden", "and", "with", "along"], 9)) + "." for _ in range(30)]
+    junk = [" | ".join(g.choice(["erntent", "thhend", "ertion", "oring"], 12)) for _ in range(10)]
+    data, off = K.text_bytes(pa.array(["\n".join(prose[:15] + junk + prose[15:])]))
+    p, _, _ = model.line_probabilities(data, off)
+    assert (p[15:25] < 0.5).all() and np.mean(p[:14] > 0.5) > 0.9 and np.mean(p[26:] > 0.5) > 0.9
+
+
+def test_gradient_of_the_share_by_two_passes():
+    """One step of ``fit`` moves every weight the way finite differences of its loss say."""
+    g = np.random.default_rng(6)
+    x, size, first, owner, y = g.normal(size=(14, 3)), g.integers(1, 9, 14).astype(float), np.array([0, 4, 7, 14]), np.array([0, 0, 1]), np.array([0.0, 1.0])
+
+    def loss(w):
+        e = x @ w
+        p, _, _ = quality.marginals(np.stack([-e, e], 1), np.zeros((2, 2)), first)
+        doc = np.repeat(owner, np.diff(first))
+        q = quality.link(np.bincount(doc, p[:, 1] * size) / np.bincount(doc, size), 0.5)
+        return -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()
+
+    slope = np.array([(loss(d) - loss(-d)) / 2e-5 for d in np.eye(3) * 1e-5])
+    assert np.array_equal(np.sign(quality.fit(x, size, first, owner, y, rounds=1).w), -np.sign(slope))
+
+
 @pytest.mark.parametrize("run", [quality.score_quality, toxicity.score_toxicity, lambda d, lab: language_id.identify(d)])
 def test_odd_inputs(odd, none, labels, run):
     out = run(odd, labels).collect()

@@ -1,7 +1,8 @@
 """Document quality from a linear-chain CRF over lines.
 
-Every line is labelled good or bad from its own shape and that of its neighbours. The
-forward-backward marginals, weighted by line length, give the document's score.
+Every line is labelled good or bad from its own shape and that of its neighbours. The line labels are
+latent: a document's label is seen through the share of its length on good lines, the sum of the
+forward-backward marginals by line length, which also gives its score.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from weftgraph.llm.common import bounded_sample, fold, labelled_ids, map_batches
 
 N_SHAPE = 17
 N_FEATURES = 3 * N_SHAPE + 3
+#: Steepness of the document's probability over the share of its length on good lines.
+SHARPNESS = 12.0
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -152,11 +155,16 @@ def marginals(emit: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[n
     return p, pair, z
 
 
+def link(share: np.ndarray, middle: float) -> np.ndarray:
+    """Probability that a document is good, from the share of its length on good lines."""
+    return 1 / (1 + np.exp(-SHARPNESS * (share - middle)))
+
+
 class QualityModel:
-    """Emission weights of the good state (the bad state's are their negative) and transitions."""
+    """Emission weights of the good state (the bad state's are their negative), transitions, and the share of good lines that is even odds."""
 
-    def __init__(self, w: np.ndarray, trans: np.ndarray):
-        self.w, self.trans = w, trans
+    def __init__(self, w: np.ndarray, trans: np.ndarray, middle: float = 0.5):
+        self.w, self.trans, self.middle = w, trans, middle
 
     def line_probabilities(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, size, first = features(data, off)
@@ -171,31 +179,41 @@ class QualityModel:
             lo, hi = int(off[i]), int(off[j])
             p, size, first = self.line_probabilities(data[lo:hi], off[i : j + 1] - lo)
             out[i:j] = np.add.reduceat(p * size, first[:-1]) / np.add.reduceat(size, first[:-1])
-        return np.clip(out, 0, 1)
+        return link(np.clip(out, 0, 1), self.middle)
 
 
-def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 250, l2: float = 1e-4) -> QualityModel:
-    """Maximum likelihood by Adam steps over all chains; y labels each line."""
-    w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
+def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 250, l2: float = 1e-4) -> QualityModel:
+    """Adam steps over documents whose lines have no labels of their own.
+
+    ``first``: first line of each chain + total; ``owner``: document of each chain; ``y``: label of each document. A document
+    is seen only through ``link`` of its length-weighted marginals, both classes weighing alike, so a bad document's ordinary
+    lines are free to stay good. The share's gradient is a covariance under the chain, which two
+    forward-backward passes give: one with each good state a little likelier by its line's weight, one with it less likely.
+    """
+    w, step = np.zeros(x.shape[1]), 1e-4
     if not len(y) or y.min() == y.max():
         w[-1] = 3.0 if not len(y) or y[0] == 1 else -3.0
-        return QualityModel(w, trans)
-    s = 2.0 * y - 1
-    inner = np.ones(len(y), bool)
-    inner[first[:-1]] = False
-    i = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[i - 1], y[i]), 1)
-    theta = np.concatenate([w, trans.ravel()])
+        return QualityModel(w, np.zeros((2, 2)))
+    doc = np.repeat(owner, np.diff(first))
+    weight = size / np.bincount(doc, size)[doc]
+    balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    theta = np.concatenate([w, np.zeros(4), [0.5]])
+    rate = np.append(np.full(len(theta) - 1, 0.1), 0.005)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        w, trans = theta[:-4], theta[-4:].reshape(2, 2)
+        w, trans, middle = theta[:-5], theta[-5:-1].reshape(2, 2), theta[-1]
         e = x @ w
-        p, pair, _ = marginals(np.stack([-e, e], 1), trans, first)
-        g = np.concatenate([(s - (p[:, 1] - p[:, 0])) @ x, (seen - pair).ravel()]) / len(y) - l2 * theta
+        emit = np.stack([-e, e], 1)
+        p, _, _ = marginals(emit, trans, first)
+        pull = (y - link(np.bincount(doc, p[:, 1] * weight), middle)) * SHARPNESS * balance
+        most = np.abs(pull).max() + 1e-300
+        nudge = np.stack([np.zeros(len(x)), step * (pull / most)[doc] * weight], 1)
+        (up, up2, _), (down, down2, _) = marginals(emit + nudge, trans, first), marginals(emit - nudge, trans, first)
+        scale = most / (2 * step)
+        g = np.concatenate([2 * scale * ((up - down)[:, 1] @ x), scale * (up2 - down2).ravel(), [-pull.sum()]]) - l2 * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return QualityModel(theta[:-4].copy(), theta[-4:].reshape(2, 2).copy())
+        theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return QualityModel(theta[:-5].copy(), theta[-5:-1].reshape(2, 2).copy(), float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_lines: int = 64, modulus: int = 5, held: int = 0) -> QualityModel:
@@ -203,15 +221,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_lines:
 
     Both bounds are parameters: the number of documents, and the lines that one document lends
     (when it has more, three runs of neighbouring lines: a third of ``max_lines`` from its start, middle and end, each a
-    chain of its own). Lines take their document's label.
+    chain of its own). Line labels are latent: see ``fit``.
     """
     chosen = bounded_sample(labelled_ids(labels, "quality", modulus, held), "y", "doc_id", per_class)
     texts = sampled_texts(docs, chosen).select("doc_id", "y", "text")
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off = K.text_bytes(b.column(2))
-        x, _, first = features(data, off)
-        out = []
+        x, size, first = features(data, off)
+        out, sizes = [], []
         ids, y = [], []
         for k in range(b.num_rows):
             n, third = int(first[k + 1] - first[k]), max(1, max_lines // 3)
@@ -219,14 +237,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_lines:
             for lo, hi in runs:
                 ids.append(b.column(0)[k]), y.append(b.column(1)[k])
                 out.append(x[first[k] + lo : first[k] + hi].astype(np.float16).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
+                sizes.append(size[first[k] + lo : first[k] + hi].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(out, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "y", "x", "size"])
 
-    got = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in map_batches(texts, fn, "doc_id long, y int, x binary").collect())
+    got = sorted((r["doc_id"], r["y"], bytes(r["x"]), bytes(r["size"])) for r in map_batches(texts, fn, "doc_id long, y int, x binary, size binary").collect())
     xs = [np.frombuffer(r[2], np.float16).reshape(-1, N_FEATURES).astype(np.float64) for r in got]
     first = np.concatenate([[0], np.cumsum([len(a) for a in xs])]).astype(int)
     x = np.concatenate(xs) if xs else np.zeros((0, N_FEATURES))
-    y = np.repeat([r[1] for r in got], np.diff(first)).astype(int) if xs else np.zeros(0, int)
-    return fit(x, y, first)
+    _, at, owner = np.unique(np.array([r[0] for r in got], np.int64), return_index=True, return_inverse=True)
+    return fit(x, np.frombuffer(b"".join(r[3] for r in got)), first, owner, np.array([r[1] for r in got], float)[at])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame | None = None, model: QualityModel | None = None, threshold: float = 0.3, modulus: int = 5, held: int = 0, **bounds) -> DataFrame:
