@@ -123,6 +123,79 @@ def paragraphs(docs: DataFrame, k: int, bands: int, rows: int, with_set: bool =
     return map_batches(docs, fn, schema)
 
 
+def _place_hash(doc_id: np.ndarray, no: np.ndarray) -> np.ndarray:
+    return K.mix64(doc_id.astype(np.int64).view(np.uint64) * K.U64(0x9E3779B97F4A7C15) + no.astype(np.uint64))
+
+
+def contexts(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, no, before, after) of paragraphs places(doc_id, no): up to ``reach`` words on both sides, nearest first.
+
+    A word is a 32-bit hash and the bytes from the paragraph's edge to its far end.
+    """
+
+    def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
+        h = _place_hash(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    bits = bitmap(map_batches(places.select("doc_id", "no"), hashed, "h long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        data, off = K.text_bytes(b.column(1))
+        h, ws, we, first = K.words(data, off)
+        start = cuts(h, first)
+        owner = np.searchsorted(first, start, "right") - 1
+        no = np.arange(len(start)) - np.searchsorted(owner, owner)
+        keep = np.flatnonzero(marked(bits.value, _place_hash(b.column(0).to_numpy()[owner], no)))
+        low, end = h.astype(np.uint32), np.append(start[1:], len(h))
+        before, after = [], []
+        for i in keep.tolist():
+            x = slice(max(first[owner[i]], start[i] - reach), start[i])
+            before.append(np.stack([low[x][::-1], (ws[start[i]] - ws[x])[::-1].astype(np.uint32)]).tobytes())
+            x = slice(end[i], min(first[owner[i] + 1], end[i] + reach))
+            after.append(np.stack([low[x], (we[x] - we[end[i] - 1]).astype(np.uint32)]).tobytes())
+        cols = [b.column(0).take(pa.array(owner[keep])), pa.array(no[keep].astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "no", "before", "after"])
+
+    near = map_batches(docs, fn, "doc_id long, no int, before binary, after binary")
+    out = materialize(near.join(places.select("doc_id", "no").distinct(), ["doc_id", "no"]).dropDuplicates(["doc_id", "no"]), "contexts")
+    bits.destroy()
+    return out
+
+
+def extended(docs: DataFrame, spans: DataFrame, occurs: DataFrame, reach: int) -> DataFrame:
+    """``spans`` grown word by word on both sides, as far as an occurrence of the edge paragraph's class in another document agrees.
+
+    The words around each edge are held against those around the class's first and last occurrence, of which one at least
+    is another document's. An edge grows by ``reach`` words at most.
+    """
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("class_id").alias("c"), F.col("no").alias("no")), F.struct(F.lit("r").alias("side"), F.col("last_class").alias("c"), F.col("last_no").alias("no"))))
+    edges = materialize(spans.select("doc_id", "run", sides.alias("e")).select("doc_id", "run", "e.side", "e.c", "e.no"), "edges")
+    ends = occurs.join(edges.select(F.col("c").alias("class_id")).distinct(), "class_id", "left_semi").groupBy("class_id").agg(F.min(F.struct("doc_id", "no")).alias("lo"), F.max(F.struct("doc_id", "no")).alias("hi"))
+    partners = materialize(ends.select(F.col("class_id").alias("c"), F.explode(F.array("lo", "hi")).alias("p")).select("c", "p.doc_id", "p.no"), "partners")
+    around = contexts(docs, edges.select("doc_id", "no").union(partners.select("doc_id", "no")), reach)
+    theirs = partners.join(around, ["doc_id", "no"]).select("c", F.col("doc_id").alias("other"), F.col("before").alias("their_before"), F.col("after").alias("their_after"))
+    both = edges.join(around, ["doc_id", "no"]).join(theirs, "c").where("doc_id <> other")
+    left = F.col("side") == "l"
+    both = both.select("doc_id", "run", "side", F.when(left, F.col("before")).otherwise(F.col("after")).alias("mine"), F.when(left, F.col("their_before")).otherwise(F.col("their_after")).alias("theirs"))
+
+    def agree(b: pa.RecordBatch) -> pa.RecordBatch:
+        words, size = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(b.column(3), b.column(4))):
+            (x, far), y = np.frombuffer(x.as_buffer(), np.uint32).reshape(2, -1), np.frombuffer(y.as_buffer(), np.uint32).reshape(2, -1)[0]
+            n = min(len(x), len(y))
+            differ = np.flatnonzero(x[:n] != y[:n])
+            words[i] = differ[0] if len(differ) else n
+            size[i] = far[words[i] - 1] if words[i] else 0
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(words), pa.array(size)], ["doc_id", "run", "side", "words", "size"])
+
+    grown = map_batches(both, agree, "doc_id long, run long, side string, words int, size long").groupBy("doc_id", "run").agg(
+        *[F.coalesce(F.max(F.when(F.col("side") == x, F.col(c))), F.lit(0)).alias(f"{c}_{x}") for x in "lr" for c in ("words", "size")]
+    )
+    out = spans.join(grown, ["doc_id", "run"], "left").na.fill(0, ["words_l", "words_r", "size_l", "size_r"])
+    return out.withColumn("start", F.col("start") - F.col("size_l")).withColumn("end", F.col("end") + F.col("size_r")).withColumn("n_words", F.col("n_words") + F.col("words_l") + F.col("words_r")).select(*spans.columns)
+
+
 def screened(df: DataFrame, column: str, bits: Broadcast) -> DataFrame:
     """Rows whose hash the map marks: all that an exact join would keep, and few others, without a shuffle."""
     at = df.columns.index(column)
@@ -275,7 +348,8 @@ def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
 
     Paragraphs are linked if their distinct k-word shingles (all words, if fewer) have at least that
     Jaccard similarity; components of links are classes. Neighbouring paragraphs of classes found in
-    several documents form a passage, of ``least_words`` or more. Up to BRIDGE paragraphs without such a class, an edited
+    several documents form a passage, of ``least_words`` or more. One with fewer words grows word by word first (see
+    ``extended``), since its first and last paragraph may reach beyond what is repeated. Up to BRIDGE paragraphs without such a class, an edited
     place, belong to it if the classes on both sides follow each other within that reach in another document too. ``class_id`` is its first paragraph's
     class and ``n_docs`` the least number of documents that share one of its paragraphs. A passage is ``removed``
     unless each class in it first occurs here (smallest doc_id, then place). Positions are UTF-8 bytes, end exclusive.
@@ -343,5 +417,9 @@ def repeated_passages(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     spans = steps.withColumn("run", run).groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("n_words"),
         F.min_by("class_id", "no").alias("class_id"), F.min("n").alias("n_docs"), (~F.bool_and("here")).alias("removed"),
+        F.min("no").alias("no"), F.max("no").alias("last_no"), F.max_by("class_id", "no").alias("last_class"),
     )
-    return spans.where(F.col("n_words") >= least_words).select("doc_id", "start", "end", "n_words", "class_id", "n_docs", "removed")
+    spans = materialize(spans, "spans")
+    short = F.col("n_words") < least_words
+    spans = spans.where(~short).union(extended(docs, spans.where(short), occurs, least_words)).where(~short)
+    return spans.select("doc_id", "start", "end", "n_words", "class_id", "n_docs", "removed")
