@@ -40,7 +40,7 @@ def plain_symbols(text):
     return out + ([tail[0]] if tail else [])
 
 
-def plain_fingerprint(text, k=3, buckets=64, size=2):
+def plain_fingerprint(text, k=3, buckets=64, size=2, bits=0):
     w = plain_symbols(text)
     mers = [w[i : i + k] for i in range(max(len(w) - k + 1, min(len(w), 1)))]
     seen, items = {}, []
@@ -56,7 +56,7 @@ def plain_fingerprint(text, k=3, buckets=64, size=2):
     for b in range(buckets):
         lead = next((i for i, x in enumerate(items) if x[0] >> 33 == b), None)
         best = [] if lead is None else [items[(lead + j) % len(items)] for j in range(min(size, len(items)))]
-        out.append(f"{_fold([v for v, _ in sorted(best, key=lambda x: x[1])]) >> 48:04x}" if best else "----")
+        out.append(f"{_fold([v for v, _ in sorted(best, key=lambda x: (x[1] >> bits, x[0]))]) >> 48:04x}" if best else "----")
     return "".join(out)
 
 
@@ -67,6 +67,14 @@ def test_fingerprint_equals_plain_version(spark):
         assert r["fp"] == plain_fingerprint(r["text"])
 
 
+def test_fingerprints_with_coarse_positions(spark):
+    """What texts of 2^24 symbols and more get, on short ones: fewer bits of a position."""
+    texts = [" ".join(random.Random(i).choices("ab cd ef gh ij kl mn".split(), k=300)) for i in range(4)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in fingerprint.add_fingerprint(df, F.col("text"), "fp", bits=7).collect():
+        assert r["fp"] == plain_fingerprint(r["text"], bits=7) != plain_fingerprint(r["text"])
+
+
 def test_likeness_falls_with_the_number_of_edits(spark):
     """Spaced and unbroken text, edits spread evenly; one letter in front moves little; white space counts; columns against the plain version."""
     g = random.Random(9)
@@ -440,7 +448,7 @@ def test_passages_with_an_edited_word_are_found(spark):
             rows.append((len(rows), " ".join([word() for _ in range(40)] + p + [word() for _ in range(40)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = paragraph_dedup.repeated_passages(df).collect()
-    assert len({r["doc_id"] for r in got}) >= 0.7 * 120  # measured: 90; a place whose longer side is cut short by its surroundings is missed
+    assert len({r["doc_id"] for r in got}) >= 0.9 * 120
     texts = dict(rows)
     for r in got:
         assert r["n_words"] == len(texts[r["doc_id"]].encode()[r["start"] : r["end"]].split()) and r["n_docs"] == 2

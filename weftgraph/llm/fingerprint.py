@@ -15,27 +15,30 @@ SYMBOL = rf"\s*+(?:\S{{1,16}}+(?!\S)|\S{{1,15}}?[{ANCHORS}]|\S{{1,16}})|\s+"
 _POS = 1 << 24
 
 
-def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K_WORDS, buckets: int = BUCKETS, size: int = TUPLE) -> DataFrame:
+def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K_WORDS, buckets: int = BUCKETS, size: int = TUPLE, bits: int | None = None) -> DataFrame:
     """Adds ``name``: four hex digits for each bucket of the order min-hash of ``text``.
 
     The k-mers of symbols are numbered by occurrence, hashed and dealt into buckets by the high
     bits of the hash. A bucket selects its ``size`` smallest, and the smallest of the buckets behind it where it has fewer
     (behind the last comes the first), puts them back in text order and hashes that tuple. So every tuple keeps an order,
     also in short texts. Shorter texts are a single k-mer, an empty bucket is ``----``, a text without symbols (white
-    space counts) is all empty. Texts have at most 16.7 million symbols; beyond that ``raise_error`` ends the query. Equal texts have equal fingerprints. Each step is a column of its own: Spark then
-    evaluates it once.
+    space counts) is all empty. Positions are kept to one part in 2^24 of a text; members that close stand in order of
+    their hashes. Equal texts have equal fingerprints. ``bits`` of a position are dropped if given, else as many as the
+    length asks for. Each step is a column of its own: Spark then evaluates it once.
     """
     if buckets & (buckets - 1):
         raise ValueError("the number of buckets is a power of two")
-    t = [f"__{name}_{i}" for i in range(5)]
+    t = [f"__{name}_{i}" for i in range(6)]
     keep = df.columns
     shift = 63 - (buckets - 1).bit_length()
-    w, h, runs, g, cut = t
+    w, h, runs, g, cut, less = t
     word = lambda i, j: F.get(F.col(w), i + F.lit(j))
     df = df.withColumn(w, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SYMBOL), F.lit(0)))
-    df = df.withColumn(w, F.when(F.size(w) >= _POS, F.raise_error(F.lit("a text has too many symbols")).cast("array<string>")).otherwise(F.col(w)))
+    # texts of 2^24 symbols and more lose the last bits of a position, so that it has 24 bits at any length
+    coarse = F.greatest(F.lit(0), F.length(F.bin(F.size(w))) - F.lit(24)) if bits is None else F.lit(bits)
+    df = df.withColumn(less, coarse.cast("int"))
     # a 39-bit hash above a 24-bit position, never negative: one sort of plain longs groups equal k-mers in text order
-    mers = F.transform(F.col(w), lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(word(i, j) for j in range(1, k))), 25), 24).bitwiseOR(i.cast("long")))
+    mers = F.transform(F.col(w), lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(word(i, j) for j in range(1, k))), 25), 24).bitwiseOR(F.call_function("shiftright", i, F.col(less)).cast("long")))
     df = df.withColumn(h, F.sort_array(F.slice(mers, F.lit(1), F.greatest(F.size(w) - F.lit(k - 1), F.lit(1)))))
     same = lambda a, b: F.shiftrightunsigned(a, 24) == F.shiftrightunsigned(b, 24)
     idx = F.sequence(F.lit(0), F.size(h) - 1)
