@@ -183,6 +183,14 @@ def test_alignment_of_hard_texts_equals_plain(spark):
     assert [tuple(r) for r in alignment.align(df.where("doc_id = 4 and text = ''"), A, B).collect()] == [(4, 0, 0, 0, 0, 0, 0, "")]
 
 
+def test_alignment_of_texts_that_end_in_a_space(spark):
+    ends = ["a", "ab 12", "é", "日本", "x!", "a\n", "a\u3000", "x\x00", "don't", "a  b"]
+    rows = [(i, t + s) for i, (t, s) in enumerate((t, s) for s in (" ", "  ", " \n ", "") for t in ends)] + [(100, " "), (101, "a "), (102, "a "), (103, "a"), (104, None), (105, "b ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):  # what follows a text in its block does not matter
+        assert sorted((tuple(r) for r in alignment.align(df.coalesce(1).repartition(parts), A, B).collect()), key=str) == plain_alignment(rows)
+
+
 def test_alignment_of_documents_equals_plain(spark, docs, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in alignment.align(docs, A, B).collect()), key=str) == plain_alignment(rows)

@@ -87,13 +87,16 @@ def segment_starts(d: np.ndarray, off: np.ndarray) -> np.ndarray:
 
     A single space after a printing ASCII character, or between a character that is no ASCII space and a printing one. There
     neither the first tokenizer's parts nor the second's pieces (none holds a space after another character) reach across.
+    A text's last space begins none: the second tokenizer puts its own space before a rest, but none before an empty one.
     """
     space = d == 32
     cut = np.zeros(len(d), bool)
     if len(d) > 2:
         before, after = d[:-2], d[2:]
         cut[1:-1] = space[1:-1] & (_PRINTS[before] | (_PRINTS[after] & ~K._SPACE[before]))
-    cut[off[:-1][np.diff(off) > 0]] = True
+    full = np.diff(off) > 0
+    cut[off[1:][full] - 1] = False
+    cut[off[:-1][full]] = True
     return np.flatnonzero(cut)
 
 
