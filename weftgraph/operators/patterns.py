@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, GraphError
 from weftgraph.operators.access import out_degree
+from weftgraph.operators.neighbourhoods import clique_rows
 from weftgraph.runtime import materialize
 
 MODES = ("monomorphism", "induced", "isomorphism")
@@ -62,19 +63,15 @@ def match_pattern(g: Graph, pattern: list[tuple[int, int]], mode: str = "monomor
 
 
 def cliques(g: Graph, size: int) -> DataFrame:
-    """(v0 < .. by rank) all cliques of that size: rows grow by a vertex a level, along edges that point to the higher (degree, id)."""
-    d = out_degree(g)
-    e = g.edges.where("src <> dst").select("src", "dst").distinct()
-    e = e.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
-    up = e.where(F.struct("ds", "src") < F.struct("dd", "dst")).select("src", "dst")
+    """(v0 < .. by rank) all cliques of that size, along edges that point to the higher (degree, id); those of three vertices and more grow inside tasks."""
     if size < 2:
         return g.vertices.select(F.col("id").alias("v0"))
-    out = up.select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
-    for i in range(2, size):
-        out = out.join(up.select(F.col("src").alias(f"v{i - 1}"), F.col("dst").alias(f"v{i}")), f"v{i - 1}")
-        for j in range(i - 1):
-            out = out.join(up.select(F.col("src").alias(f"v{j}"), F.col("dst").alias(f"v{i}")), [f"v{j}", f"v{i}"], "left_semi")
-    return out.select(*[f"v{i}" for i in range(size)])
+    e = g.edges.where("src <> dst").select("src", "dst").distinct()
+    if size > 2:
+        return clique_rows(e, size)
+    d = out_degree(g)
+    e = e.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
+    return e.where(F.struct("ds", "src") < F.struct("dd", "dst")).select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
 
 
 def maximum_cliques(g: Graph) -> DataFrame:
