@@ -60,3 +60,16 @@ def test_partitioned_cliques(spark):
     want = sorted(c for c in itertools.combinations(v, best) if all(p in have for p in itertools.combinations(c, 2)))
     got = M.partitioned_maximum_cliques(spark.createDataFrame([(7, x) for x in v], "pair long, x long"), spark.createDataFrame([(7, *p) for p in e], "pair long, x long, y long")).collect()
     assert sorted(tuple(r["members"]) for r in got) == want and {r["size"] for r in got} == {best}
+
+
+def test_no_table_of_pairs_is_broadcast(spark):
+    v, e = tables(spark, [({i: "c" for i in range(4)}, [(0, 1), (1, 2), (2, 3)]), ({i: "c" for i in range(4)}, [(0, 1), (0, 2), (0, 3), (1, 2)])])
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 1, 1)], "pair long, a long, b long")
+    store, listening = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    listening.waitUntilEmpty()
+    before = {x.executionId() for x in (store.executionsList().apply(i) for i in range(store.executionsList().size()))}
+    assert M.mces(v, e, pairs).count() == 2
+    listening.waitUntilEmpty()
+    runs = [x for x in (store.executionsList().apply(i) for i in range(store.executionsList().size())) if x.executionId() not in before]
+    plans = [x.physicalPlanDescription() for x in runs]
+    assert plans and not [p for p in plans if "BroadcastExchange" in p]
